@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding
+from . import decontamination, media, mixing, sharding, simhash
 
 QUERIES = {
     "op6_decontamination": decontamination.query,
     "op7_mixing": mixing.query,
+    "op8_simhash": simhash.query,
     "op9_sharding": sharding.query,
+    "op10_media": media.query,
 }
 
 ORACLES = {
