@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, media, mixing, sharding, simhash
+from . import decontamination, media, mixing, page_text, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op4_toxicity": toxicity.query,
+    "op5_page_text": page_text.query,
     "op6_decontamination": decontamination.query,
     "op7_mixing": mixing.query,
     "op8_simhash": simhash.query,
