@@ -125,14 +125,14 @@ def restore(token: str, costs: list) -> list[str]:
     if core.isalpha() and not DRAWN.search(core):
         words = [core]
     else:
-        left = low.lstrip("".join(c for c in EDGES if c not in "@$"))
-        core = left.rstrip("".join(c for c in EDGES if c not in "@")) if len(left) - len(left.rstrip("@$")) < 2 else left.rstrip(EDGES)
         odd = sum(c in LEET and not c.isalpha() or c in LINKS for c in core)
         if not any(c.isalpha() for c in core) or len(core) > 40 or odd > 0.75 * len(core):
             return LETTERS.findall(low)
         words = decode(core, costs).split()
         if odd or len(words) > 1:
             words += LETTERS.findall(low)  # as it stands, too
+    if low[0] in "@$" and low[1:2].isalpha() and len(low) <= 40:  # such a sign may stand for a first letter
+        words += decode(low.rstrip(EDGES), costs).split()
     return words
 
 
