@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, media, mixing, page_text, quality, sharding, simhash, toxicity
+from . import decontamination, language, media, mixing, page_text, personal_data, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_language": language.query,
+    "op3_personal_data": personal_data.query,
     "op4_toxicity": toxicity.query,
     "op5_page_text": page_text.query,
     "op6_decontamination": decontamination.query,
