@@ -40,7 +40,7 @@ ROUNDS, MIN_SEEDS, DOUBT, THRESHOLD = 2, 5, 1.0, 0.8
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)  # a function of two would get the index too
 
 
 def running_sums(lengths: Column, step: int = 256) -> Column:
@@ -81,12 +81,23 @@ def passes(kind: str, match: Column) -> Column:
         part = lambda p: let(F.ltrim(p, F.lit("0")), lambda s: (F.length(s) <= 3) & (F.lpad(s, 3, "0") <= "255"))
         return F.forall(F.split(match, r"\."), part)
     if kind == "card":
-        return F.length(digits).between(12, 19) & F.luhn_check(digits)
+        return F.length(digits).between(12, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
     return F.lit(True)
 
 
+def checked_spans(text: Column, no: int, kind: str) -> Column:
+    """Array of (start, no, end, kind, match) of a kind's matches that pass its check."""
+    good = F.filter(located(text, PATTERNS[kind]), lambda s: passes(kind, s["match"]))
+    return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    """Number of the spans of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document: base spans by start and kind, and the other identifier-like tokens, each with its context."""
     body = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -95,8 +106,7 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     none = F.array().cast("array<struct<start:int,no:int,end:int,kind:string,match:string>>")
     arrays = {}
     for no, kind in enumerate(KINDS):
-        good = F.filter(located(F.col("_t"), PATTERNS[kind]), lambda s, kind=kind: passes(kind, s["match"]))
-        arrays[f"_{kind}"] = F.when(guards[kind], F.transform(good, lambda s, no=no, kind=kind: F.struct(s["start"].alias("start"), F.lit(no).alias("no"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["match"].alias("match")))).otherwise(none)
+        arrays[f"_{kind}"] = F.when(guards[kind], checked_spans(F.col("_t"), no, kind)).otherwise(none)
     tokens = F.when(digits | guards["email"], F.filter(located(F.col("_t"), TOKEN), lambda s: F.length(s["match"]).between(6, 64))).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     based = body.withColumns(arrays).withColumn("_tokens", tokens)
     based = based.select("_row", "doc_id", "_t", F.array_sort(F.concat(*arrays)).alias("base"), "_tokens")
@@ -152,7 +162,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     extra = where.groupBy("_row").agg(F.collect_list(F.struct(F.col("s.start").alias("start"), kind_no.alias("no"), F.col("s.end").alias("end"), F.col("kind").alias("kind"))).alias("extra"))
     base = F.transform("base", lambda s: F.struct(s["start"], s["no"], s["end"], s["kind"]))
     joined = spans.join(extra, "_row", "left").withColumn("_base", base).withColumn("extra", F.coalesce("extra", F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [of_kind(F.col("_base"), k).alias(f"n_{k}") for k in KINDS]
     return joined.select(
         "doc_id",
         *counts,
