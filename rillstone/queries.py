@@ -2,14 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from .plans import event_queries
 
+flagship = event_queries.group_count
+QUERIES = {f.__name__: f for f in event_queries.ALL}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types by number of events."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("event_type").alias("payloadType")).agg(F.count(F.lit(1)).alias("n"))
+#: The log that the SQL below reads.
+LOG = """WITH log AS (
+  SELECT event_id AS token, CAST(user_id AS VARCHAR) AS "aggregateIdentifier", row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS "aggregateSequenceNumber",
+         event_type AS "payloadType", props AS "payloadData", epoch_us(ts) // 1000 AS "timestamp", value, ts FROM events
+), lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS "aggregateIdentifier", CAST(l_linenumber AS BIGINT) - 1 AS "aggregateSequenceNumber", l_quantity AS quantity FROM lineitem
+) """
 
-
-QUERIES = {"group_count": flagship}
-ORACLES = {"group_count": "SELECT event_type AS \"payloadType\", count(*) AS n FROM events GROUP BY event_type"}
+_ON_LOG = {
+    "group_count": 'SELECT "payloadType", count(*) AS n FROM log GROUP BY ALL',
+    "filter_eq": """SELECT token, "payloadType" FROM log WHERE "payloadType" = 'error'""",
+    "filter_and_or_not": """SELECT token, "aggregateIdentifier" FROM log WHERE "payloadType" = 'click' AND (token > 100 OR "aggregateIdentifier" <> '8')""",
+    "filter_not_equal": """SELECT token, "payloadType" FROM log WHERE "payloadType" IS DISTINCT FROM 'view' AND token <= 5000""",
+    "filter_in_list": """SELECT token, "payloadType" FROM log WHERE "payloadType" IN ('click', 'view')""",
+    "filter_contains": """SELECT token, "payloadData" FROM log WHERE "payloadData" LIKE '%69%'""",
+    "filter_match": """SELECT token, "payloadType" FROM log WHERE regexp_full_match("payloadType", 'c.*k')""",
+    "last_window": """SELECT token, "timestamp" FROM log WHERE ts >= TIMESTAMP '2024-01-28 12:00:00'""",
+    "last_month_groups": """SELECT "payloadType", count(*) AS n FROM log WHERE ts >= TIMESTAMP '2024-01-17' GROUP BY ALL""",
+    "select_arith": """SELECT token, CAST(round("aggregateSequenceNumber" / 2) AS BIGINT) AS h, token % 7 AS m, token * 3 - "aggregateSequenceNumber" + 1 AS t, 'x' || "payloadType" AS s FROM log""",
+    "select_strings": """SELECT token, upper("payloadType") AS u, lower("payloadType") AS w, "payloadType"[2:4] AS p, left("payloadType", 2) AS l, right("payloadType", 3) AS r, length("payloadData") AS n FROM log""",
+    "concat_list": """SELECT token, concat_ws('-', "payloadType", "aggregateIdentifier") AS c FROM log""",
+    "format_date": """SELECT token, strftime(ts, '%Y/%m/%d %H:%M') AS t, strftime(ts + INTERVAL 9 HOUR, '%H:%M') AS tokyo FROM log""",
+    "date_parts": """SELECT token, strftime(ts, '%Y') AS y, strftime(ts, '%m') AS mm, CAST((day(ts) + 6) // 7 AS VARCHAR) AS d, strftime(ts, '%H') AS hh,
+        CAST(CASE WHEN month(ts) = 12 AND day(ts) - dayofweek(ts) >= 26 THEN 1 ELSE (dayofyear(ts) - 1 + dayofweek(date_trunc('year', ts))) // 7 + 1 END AS VARCHAR) AS w FROM log""",
+    "json_number": """SELECT "payloadType", round(avg(CAST(json_extract("payloadData", '$.k') AS DOUBLE)), 8) AS k FROM log GROUP BY ALL""",
+    "metadata_filter": "SELECT token, value FROM log WHERE value > 50",
+    "group_multi": 'SELECT "payloadType", "aggregateIdentifier", count(*) AS n, max(token) AS mx, min(token) AS mn FROM log GROUP BY ALL',
+    "group_having": 'SELECT "payloadType", count(*) AS n FROM log GROUP BY ALL HAVING count(*) > 2000',
+    "group_last_value": 'SELECT "payloadType", arg_max("payloadData", token) AS "lastData" FROM log GROUP BY ALL',
+    "global_count": 'SELECT count(*) AS "count" FROM log HAVING count(*) > 0',
+    "global_avg": 'SELECT round(avg("aggregateSequenceNumber"), 8) AS avg FROM log HAVING count(*) > 0',
+    "running_avg": 'SELECT token, round(avg("aggregateSequenceNumber") OVER (ORDER BY token), 8) AS a FROM log',
+    "nested_group": 'SELECT n, count(*) AS m FROM (SELECT row_number() OVER (PARTITION BY "aggregateIdentifier" ORDER BY token) AS n FROM log) GROUP BY n',
+    "limit_ids": 'SELECT token, "payloadType" FROM log ORDER BY token DESC LIMIT 10',
+    "sort_limit": 'SELECT token, "payloadType" FROM log ORDER BY "payloadType" DESC, token DESC LIMIT 10',
+    "agg_read": """SELECT token, "aggregateSequenceNumber" FROM log WHERE "aggregateIdentifier" = '42' AND "aggregateSequenceNumber" BETWEEN 3 AND 19""",
+    "agg_snapshot": """, snap AS (SELECT "aggregateIdentifier" AS a, max("aggregateSequenceNumber") AS s FROM lines WHERE "aggregateSequenceNumber" = 2 GROUP BY 1)
+        SELECT a AS "aggregateIdentifier", s AS "aggregateSequenceNumber", true AS "isSnapshot" FROM snap
+        UNION ALL SELECT l."aggregateIdentifier", l."aggregateSequenceNumber", false FROM lines l LEFT JOIN snap ON a = l."aggregateIdentifier" WHERE s IS NULL OR l."aggregateSequenceNumber" > s""",
+    "highest_number": 'SELECT "aggregateIdentifier", max("aggregateSequenceNumber") AS highest FROM log GROUP BY ALL',
+    "token_bounds": 'SELECT coalesce(min(token), -1) AS "firstToken", coalesce(max(token), -1) AS "lastToken" FROM log',
+    "token_at": 'SELECT coalesce(min(token) FILTER ("timestamp" >= 1705320000000), max(token) + 1, -1) AS token FROM log',
+    "token_gaps": """SELECT token FROM (SELECT token, lag(token) OVER (ORDER BY token) AS p FROM log WHERE "payloadType" <> 'error') WHERE p IS NULL OR p + 1 <> token""",
+    "seq_check": """SELECT "aggregateIdentifier", "aggregateSequenceNumber", p + 1 AS expected FROM (
+        SELECT *, coalesce(lag("aggregateSequenceNumber") OVER (PARTITION BY "aggregateIdentifier" ORDER BY "aggregateSequenceNumber"), -1) AS p FROM lines WHERE quantity > 10) WHERE "aggregateSequenceNumber" <> p + 1""",
+    "snapshot_check": """SELECT h."aggregateIdentifier", CAST(3 AS BIGINT) AS "aggregateSequenceNumber" FROM lines h
+        JOIN (SELECT "aggregateIdentifier", max("aggregateSequenceNumber") AS m FROM lines GROUP BY 1) x ON x."aggregateIdentifier" = h."aggregateIdentifier" WHERE h."aggregateSequenceNumber" = 0 AND m >= 3""",
+    "rate_buckets": """SELECT "payloadType", bucket, n, CAST(sum(n) OVER (PARTITION BY "payloadType" ORDER BY bucket RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS "inWindow"
+        FROM (SELECT "payloadType", "timestamp" // 3600000 AS bucket, count(*) AS n FROM log GROUP BY ALL)""",
+    "latency_pct": """SELECT "payloadType", round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM log GROUP BY ALL""",
+    "composite_metric": """SELECT "payloadType", count(value) AS "count", min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM log GROUP BY ALL""",
+    "silent_aggregates": 'SELECT "aggregateIdentifier", max("timestamp") AS "lastSeen" FROM log GROUP BY ALL HAVING max("timestamp") < 1706616000000',
+}
+ORACLES = {name: LOG + sql for name, sql in _ON_LOG.items()}
