@@ -122,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
 def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     """The rows with ``score`` and ``predicted``."""
     measured, names = statistics(docs, text)
-    return measured.withColumn("score", model.score()).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*names)
+    # a generated column: a filter on it is not pushed below, where every rule would measure the text again
+    return measured.withColumn("score", F.explode(F.array(model.score()))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
