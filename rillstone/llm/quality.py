@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled
     measured, names = statistics(read.select("_text", "_y"), "_text")
     rows = measured.select("_y", *names).limit(2 * max_labelled).toPandas()  # numbers only; ids may repeat, hence a limit on rows too
     positive = float(rows["_y"].mean()) if len(rows) else 0.5
-    if not 0 < positive < 1:
+    if not len(rows) or not 0 < positive < 1:
         return RuleModel(math.log((positive + 1e-3) / (1 - positive + 1e-3)), ())
     rows = rows.sort_values(list(rows.columns), kind="stable")  # the same fit, however the rows came
     sample = docs.sparkSession.createDataFrame(rows).coalesce(1).withColumn("features", array_to_vector(F.array(*names))).cache()
