@@ -22,6 +22,8 @@ from .common import blank_words, hex_prefix, running_total, settle, table
 
 #: About so many rows are sorted together; a source has as many buckets as it has rows over this.
 BUCKET_ROWS = 512
+#: The table of targets (one row a source) is broadcast up to this many sources; beyond, it is joined by a shuffle.
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def diversity_weight(words: Column) -> Column:
@@ -72,9 +74,11 @@ def targets(slim: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """For each document: size, its source's size and target, and ``taken``, the words the mix takes of it (repeats counted)."""
     slim = settle(draws(docs, doc_id, text, source))
-    goals = targets(slim, weights, max_epochs)
+    goals = settle(targets(slim, weights, max_epochs))
+    goals = F.broadcast(goals) if goals.count() <= MAX_BROADCAST_SOURCES else goals
     bucket = F.floor((1 - F.exp(-F.col("_key") * F.col("_w1000") / (F.col("_n") * 1000.0))) * F.ceil(F.col("_n") / BUCKET_ROWS))
-    rows = slim.join(goals, "_g").withColumn("_bucket", bucket)
+    # dealt by source and bucket: else the windows take over a join's dealing by source, and a hot source is one task
+    rows = slim.join(goals, "_g").withColumn("_bucket", bucket).repartition("_g", "_bucket")
     placed = running_total(rows, ["_g"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_h")], "size", "_before")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.expr("floor(target + 0.5) div source_size"))
