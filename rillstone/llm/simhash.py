@@ -161,22 +161,29 @@ def components(edges: DataFrame) -> DataFrame:
         current = settle(small.distinct())
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """For each document its fingerprint (16 hex digits) and the smallest id of its component."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
+def _placed(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each document (id, text hash, fingerprint), and for each fingerprint its smallest id and its component's root."""
+    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _fingerprints(F.col(text)).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints, radius))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return prints, firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """For each document its fingerprint (16 hex digits) and the smallest id of its component."""
+    prints, rooted = _placed(docs, doc_id, text, radius)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the one with the smallest id (one of them, if that id repeats; nulls only alone)."""
-    kept = classes(docs, doc_id, text, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fingerprint").alias("_kept")).select(F.col("component_id").alias("_id"))
-    only = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi")
-    return only.dropDuplicates([doc_id])
+    """One document of each component: the one with the smallest id (nulls last), of several with that id one by text hash."""
+    prints, rooted = _placed(docs, doc_id, text, radius)
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
+    kept = best.join(rooted, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash"))
+    only = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_semi")
+    return only.dropDuplicates([doc_id, text])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

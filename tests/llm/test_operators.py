@@ -166,3 +166,10 @@ def test_odd_pages(spark):
     assert len(got) == 3 and got[got.page_id == 2].lang.item() == "en"
     assert language.identify(pages, docs.limit(0)).toPandas().lang.isna().all()
     assert language.identify(pages.limit(0), docs).count() == 0
+
+
+def test_simhash_keeps_texts_of_null_and_repeated_ids(spark):
+    far = ["the quick brown fox jumps over the lazy dog", "many rivers run slowly to a cold northern sea", "seven old clocks strike noon in an empty hall"]
+    rows = [(None, far[0]), (None, far[1]), (None, far[1]), (5, far[2]), (5, far[0] + " again and again until night"), (7, far[2])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, far[0]), (0, far[1]), (5, far[2]), (5, rows[4][1])])
