@@ -173,3 +173,23 @@ def test_simhash_keeps_texts_of_null_and_repeated_ids(spark):
     rows = [(None, far[0]), (None, far[1]), (None, far[1]), (5, far[2]), (5, far[0] + " again and again until night"), (7, far[2])]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, far[0]), (0, far[1]), (5, far[2]), (5, rows[4][1])])
+
+
+def test_near_copies_of_five_word_similarity_are_one(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], set()
+    for base in range(40):
+        words = [f"w{base}x{i}" for i in rng.integers(0, 9000, 300)]
+        rows.append((100 * base, " ".join(words)))
+        want.add(100 * base)
+        for k in range(1, 9):  # five edited words cost at most 25 of 296 shingles: similarity 0.84 with the base
+            copy = list(words)
+            for at in rng.choice(300, 5, replace=False):
+                copy[at] = f"new{base}_{k}_{at}"
+            rows.append((100 * base + k, " ".join(copy)))
+        half = words[:150] + [f"other{base}_{i}" for i in range(150)]
+        rows.append((100 * base + 50, " ".join(half)))
+        want.add(100 * base + 50)
+    rows += [(9001, ""), (9002, None), (9003, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want | {9001}
