@@ -39,19 +39,23 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id
     return runs.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: ``n_words``, the hit ``spans`` (first word from 1, number of words) and the ``items`` found."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", hashed_text: bool = False) -> DataFrame:
+    """A row for each document: ``n_words``, the hit ``spans`` (first word from 1, number of words) and the ``items`` found.
+
+    With ``hashed_text`` also ``text_hash``, which tells rows of the same id apart.
+    """
     windows = benchmark_windows(benchmark, n)
     lengths = sorted(r["len"] for r in windows.groupBy("len").count().collect())  # at most n rows
     marker = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_blen"), F.array().cast("array<string>").alias("_window"), F.array().cast("array<string>").alias("_items"))
     known = windows.select(F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("_h"), F.col("len").alias("_blen"), F.col("window").alias("_window"), F.col("items").alias("_items")).unionAll(marker)
     if known.count() <= MAX_BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_words"))
+    own = ["_row", "doc_id", *["text_hash"] * hashed_text]
+    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), *[F.xxhash64(F.col(text)).alias("text_hash")] * hashed_text, tokens(F.col(text)).alias("_words"))
     hashed = words.withColumn("_words_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    looked = hashed.select("_row", "doc_id", "_words", F.size("_words").alias("n_words"), F.concat(F.array(F.lit(0).cast("long")), *[window_hashes(F.col("_words_h"), k) for k in lengths]).alias("_hashes"))
+    looked = hashed.select(*own, "_words", F.size("_words").alias("n_words"), F.concat(F.array(F.lit(0).cast("long")), *[window_hashes(F.col("_words_h"), k) for k in lengths]).alias("_hashes"))
     # _hashes is never empty; the outer form keeps Spark from inferring a filter that would hash every window twice
-    each = looked.select("_row", "doc_id", "_words", "n_words", F.posexplode_outer("_hashes").alias("_pos", "_dh"))
+    each = looked.select(*own, "_words", "n_words", F.posexplode_outer("_hashes").alias("_pos", "_dh"))
     start, size, first = F.lit(0), F.lit(0), F.lit(1)  # the marker is at 0; then the windows of each length in turn
     for k in lengths:
         count = F.greatest(F.col("n_words") - (k - 1), F.lit(0))
@@ -59,9 +63,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
         start, size = F.when(inside, F.col("_pos") - first + 1).otherwise(start), F.when(inside, F.lit(k)).otherwise(size)
         first = first + count
     same = (F.col("_dh") == F.col("_h")) & (F.col("_blen") == size) & ((size == 0) | (F.slice(F.col("_words"), F.greatest(start, F.lit(1)), size) == F.col("_window")))
-    found = each.join(known, same).select("_row", "doc_id", "n_words", start.alias("start"), size.alias("len"), "_items")
+    found = each.join(known, same).select(*own, "n_words", start.alias("start"), size.alias("len"), "_items")
     span = F.when(F.col("len") > 0, F.struct("start", "len"))
-    return found.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items")).drop("_row")
+    return found.groupBy(*own, "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items")).drop("_row")
 
 
 def covered(spans: Column) -> Column:
@@ -88,19 +92,24 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
+def _of_row(docs: DataFrame, doc_id: str, text: str):
+    """Whether a hit's row is the document: same id and text, so that other texts of that id (or without one) are untouched."""
+    return docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that hold any benchmark window (a document with a null id stays unless another such has a hit)."""
-    bad = hits(docs, benchmark, n, doc_id, text).where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents without those that hold any benchmark window; each row is decided by its own text, whatever its id."""
+    bad = hits(docs, benchmark, n, doc_id, text, hashed_text=True).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(bad, _of_row(docs, doc_id, text), "left_anti")
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with hit words left out, as ``clean_words``: the normalised words that no hit covers."""
     words = docs.withColumn("_words", tokens(F.col(text)))
-    found = hits(docs, benchmark, n, doc_id, text).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.flatten(F.collect_list("spans")).alias("_spans"))
+    found = hits(docs, benchmark, n, doc_id, text, hashed_text=True).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))  # equal texts have equal spans
     hit = lambda i: F.exists("_spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["len"]))
-    joined = words.join(found, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("clean_words", F.when(F.col("_spans").isNull(), F.col("_words")).otherwise(F.filter("_words", lambda w, i: ~hit(i)))).drop("_words", "_spans", "_id")
+    joined = words.join(found, _of_row(words, doc_id, text), "left")
+    return joined.withColumn("clean_words", F.when(F.col("_spans").isNull(), F.col("_words")).otherwise(F.filter("_words", lambda w, i: ~hit(i)))).drop("_words", "_spans", "_id", "_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,12 @@ def test_near_copies_of_five_word_similarity_are_one(spark):
     rows += [(9001, ""), (9002, None), (9003, " \n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want | {9001}
+
+
+def test_decontamination_decides_each_row(spark):
+    rows = [(None, "clean words without an id"), (None, "see the same text twice here"), (7, "the same text twice"), (7, "a clean text of that id"), (8, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "the same text twice")], BENCH)
+    assert sorted(map(str, map(tuple, decontamination.remove(docs, bench).collect()))) == sorted(map(str, [rows[0], rows[3], rows[4], rows[5]]))
+    cut = {(r.doc_id, r.text): r.clean_words for r in decontamination.cut_spans(docs, bench).collect()}
+    assert len(cut) == 6 and cut[rows[0]] == rows[0][1].split() and cut[rows[1]] == ["see", "here"] and cut[rows[2]] == [] and cut[rows[3]] == rows[3][1].split()
