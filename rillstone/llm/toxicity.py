@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,22 +165,14 @@ def _features(costs: list):
                         found.update(words)
                     found = {w for w in found if 3 <= len(w) <= 40}
                     stems = {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
-                    # near copies share their least hash, so that a group of copies counts once
-                    sketch = min((hash_of(w) for w in found), default=0)
+                    # texts with the same words count once
+                    sketch = xxhash.xxh64_intdigest(" ".join(sorted(found)).encode("utf-8", "surrogatepass")) >> 1
                     rows.append((sketch, toxic, sorted(found | stems)))
                 yield pd.DataFrame(rows, columns=["sketch", "toxic", "features"])
 
     return run
 
 
-def hash_of(word: str) -> int:
-    """A stable 60-bit hash."""
-    h = 1469598103934665603
-    for b in word.encode("utf-8", "surrogatepass"):
-        h = ((h ^ b) * 1099511628211) & (2**64 - 1)
-    return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & (2**64 - 1)) >> 4
-
-
 class Model:
     """Language-model costs, lexicon (words, and stems ending in a star) and logistic coefficients."""
 

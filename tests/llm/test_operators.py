@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontamination, language, media, mixing, personal_data, quality, queries, sharding, simhash
+from rillstone.llm import decontamination, language, media, mixing, personal_data, quality, queries, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size int, words string"
@@ -202,3 +202,10 @@ def test_decontamination_decides_each_row(spark):
     assert sorted(map(str, map(tuple, decontamination.remove(docs, bench).collect()))) == sorted(map(str, [rows[0], rows[3], rows[4], rows[5]]))
     cut = {(r.doc_id, r.text): r.clean_words for r in decontamination.cut_spans(docs, bench).collect()}
     assert len(cut) == 6 and cut[rows[0]] == rows[0][1].split() and cut[rows[1]] == ["see", "here"] and cut[rows[2]] == [] and cut[rows[3]] == rows[3][1].split()
+
+
+def test_toxicity_counts_each_different_text(spark):
+    costs = np.zeros((28, 28, 28)).tolist()
+    texts = [f"the common words of all texts and number {'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}x" for k in range(100)]
+    (out,) = toxicity._features(costs)([pd.DataFrame({"text": [*texts, texts[0]], "toxic": 1})])
+    assert out.sketch.nunique() == 100
