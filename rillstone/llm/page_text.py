@@ -30,6 +30,8 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hid
 # Kinds of elements and words of class, id and role attributes.
 #: Their text is never shown as prose.
 SKIPPED = set("script style noscript template iframe object svg math canvas audio video select option textarea button title head datalist map".split())
+#: Of these, without an end tag all the rest of a page is theirs; others without one are passed over.
+RAW = set("script style textarea title".split())
 #: They hold something beside the article.
 BESIDE = set("nav footer aside form menu dialog".split())
 ARTICLE = set("article main".split())
@@ -87,7 +89,8 @@ def blocks(page: str) -> list[dict]:
                     continue
                 low = page.lower() if low is None else low
                 stop = low.find(f"</{tag}", at) if len(low) == end else page.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
+                if stop >= 0 or tag in RAW:
+                    at = end if stop < 0 else stop
                 continue
             beside = article = False
             hidden = False
@@ -99,6 +102,15 @@ def blocks(page: str) -> list[dict]:
                         words.update(re.findall(r"[a-z]+", value))
                     elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                         hidden = True
+            if tag == "a":  # an open link ends where the next begins
+                inside_link = 0
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == "a":
+                        flush()
+                        del stack[k:]
+                        break
+                    if stack[k][0] in FENCE:
+                        break
             if tag in BLOCK or words & BESIDE_WORDS or hidden:
                 flush()
                 for k in range(len(stack) - 1, 0, -1):
@@ -119,8 +131,8 @@ def blocks(page: str) -> list[dict]:
                 inside_link += 1
         elif m[3]:
             tag = m[3].lower()
-            if tag == "a":
-                inside_link = max(0, inside_link - 1)
+            if tag == "a" and inside_link:
+                inside_link -= 1
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == tag:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontamination, language, media, mixing, personal_data, quality, queries, sharding, simhash, toxicity
+from rillstone.llm import decontamination, language, media, mixing, page_text, personal_data, quality, queries, sharding, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size int, words string"
@@ -209,3 +209,14 @@ def test_toxicity_counts_each_different_text(spark):
     texts = [f"the common words of all texts and number {'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}x" for k in range(100)]
     (out,) = toxicity._features(costs)([pd.DataFrame({"text": [*texts, texts[0]], "toxic": 1})])
     assert out.sketch.nunique() == 100
+
+
+def test_page_text_goes_on_after_marked_links_and_unclosed_elements():
+    shown = lambda page: [b["text"] for b in page_text.blocks(page) if not b["beside"]]
+    assert shown('<body><a class="skip-link" href="#m">Skip</a><main><article><p>All of it.</p></article></main>') == ["All of it."]
+    assert shown('<p>text <a class="share">Share</a> more text</p><p>end</p>') == ["text", "more text", "end"]
+    assert shown('<p>text <a href="x">unclosed <a class="share">Share</a> more</p>') == ["text unclosed", "more"]
+    assert page_text.blocks('<p>one <a class="share">Share <a href="x">two</a> three</p>')[-1]["beside"] is False
+    for tag in ("button", "select", "iframe", "canvas", "video", "audio", "template"):
+        assert shown(f"<p>before</p><{tag}><p>after</p>")[-1] == "after"
+    assert shown("<p>before</p><script>var x = '<p>after</p>'") == ["before"]
