@@ -38,8 +38,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SWAP, DROP, DROP_LINK, WILD, SHORTEN, HALVE, SPLIT = 0.7, 8.0, 0.3, 3.0, 1.0, 3.0, 2.5
 LINKS = "-._*~'"
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+EDGE_NOISE = "".join(c for c in EDGES if c not in LEET and c != "*")
 RUN = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
 DRAWN = re.compile(r"(\w)\1\1")
+#: Repeats have the same readings from three on; of stars each may be a letter, but no word has more than the longest.
+REPEATS, STARS = re.compile(r"([^*])\1{3,}"), re.compile(r"\*{41,}")
+#: Long tokens and runs are decoded in pieces that share the length of the longest word.
+PIECE, LONGEST = 64, 40
 LETTERS = re.compile(r"[^\W\d_]+")
 
 BYTE_CLASS = np.zeros(256, np.int64)
@@ -80,32 +85,45 @@ def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return -np.log(p3)
 
 
-def lattice(token: str, spaced: bool) -> list[list[tuple[str, float]]]:
-    """The readings of each stretch of a token: (letters, cost)."""
+def lattice(token: str, spaced: bool, starred: bool = False) -> list[list[tuple[str, float]]]:
+    """The readings of each stretch of a token: (letters, cost). If ``starred``, stars are letters rather than links."""
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
         ch, n = token[i], 1
-        while i + n < len(token) and token[i + n] == ch:
+        while ch != "*" and i + n < len(token) and token[i + n] == ch:
             n += 1
         if ch.isalpha():
             out.append([(ch, 0.0)] if n == 1 else [(ch * 2, 0.0), (ch, HALVE)] if n == 2 else [(ch, SHORTEN), (ch * 2, SHORTEN)])
         else:
             read = [(c, SWAP) for c in LEET.get(ch, "")] + ([(c * 2, 2 * SWAP) for c in LEET.get(ch, "")] if n == 2 else [])
-            if ch == "*" and n == 1:
+            if ch == "*":
                 read += [(chr(c), WILD) for c in range(97, 123)]
-            out.append(read + [("", DROP_LINK if ch in LINKS else DROP)] + ([(" ", SPLIT)] if not ch.isalnum() else []))
+            out.append(read + [("", DROP_LINK if ch in LINKS and not (starred and ch == "*") else DROP)] + ([(" ", SPLIT)] if not ch.isalnum() else []))
         if spaced:
             out.append([("", 0.0), (" ", SPLIT)])
         i += n
     return out
 
 
-def decode(token: str, costs: list, spaced: bool = False) -> str:
-    """The likeliest plain text behind a lower-case token: Viterbi over the last two letter classes."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for readings in lattice(token, spaced):
+#: The costs last decoded with, the same as an array, and what follows two classes at best: (cost, letters) by suffix.
+_LAST: list = [None, None, {}]
+
+
+def _advance(states: dict[tuple[int, int], tuple[float, str]], stretches: list, costs: list) -> dict[tuple[int, int], tuple[float, str]]:
+    """The cheapest way to each pair of last classes after some more stretches."""
+    for readings in stretches:
         following: dict[tuple[int, int], tuple[float, str]] = {}
+        if len(readings) > 26:  # any letter: all states at once
+            readings = [r for r in readings if r[1] != WILD]
+            known = np.full((CLASSES, CLASSES), np.inf)
+            for (a, b), (cost, _) in states.items():
+                known[a, b] = cost
+            ways = known[:, :, None] + _LAST[1][:, :, 1:27]
+            came, least = ways.argmin(axis=0).tolist(), (ways.min(axis=0) + WILD).tolist()
+            for b in {b for _, b in states}:
+                for z in range(26):
+                    following[b, z + 1] = (least[b][z], states[came[b][z], b][1] + chr(97 + z))
         for (a, b), (cost, text) in states.items():
             for letters, price in readings:
                 x, y, c = a, b, cost + price
@@ -116,24 +134,58 @@ def decode(token: str, costs: list, spaced: bool = False) -> str:
                 if (x, y) not in following or c < following[x, y][0]:
                     following[x, y] = (c, text + letters)
         states = following
-    return min((c + costs[x][y][0], text) for (x, y), (c, text) in states.items())[1]
+    return states
+
+
+def _end(states: dict[tuple[int, int], tuple[float, str]], costs: list) -> tuple[float, str]:
+    return min((c + costs[x][y][0], text) for (x, y), (c, text) in states.items())
+
+
+def decode(token: str, costs: list, spaced: bool = False, starred: bool = False) -> str:
+    """The likeliest plain text behind a lower-case token: Viterbi over the last two letter classes."""
+    if _LAST[0] is not costs:
+        _LAST[:] = costs, np.array(costs), {}
+    letters = len(token)
+    while letters and not token[letters - 1].isalpha():
+        letters -= 1
+    suffix = token[letters:]
+    if spaced or "*" not in suffix:
+        return _end(_advance({(0, 0): (0.0, "")}, lattice(token, spaced, starred), costs), costs)[1]
+    # the readings of a suffix with stars depend on the two classes before it only, and the same suffixes come again
+    best, ends = [], _LAST[2]
+    for (x, y), (c, text) in _advance({(0, 0): (0.0, "")}, lattice(token[:letters], False, starred), costs).items():
+        key = (x, y, suffix, starred)
+        if key not in ends:
+            if len(ends) > 100_000:
+                ends.clear()
+            ends[key] = _end(_advance({(x, y): (0.0, "")}, lattice(suffix, False, starred), costs), costs)
+        best.append((c + ends[key][0], text + ends[key][1]))
+    return min(best)[1]
+
+
+def pieces(text: str) -> list[str]:
+    """A text in pieces, each with the next word's length of the following one."""
+    return [text[at : at + PIECE + LONGEST] for at in range(0, max(1, len(text) - LONGEST), PIECE)]
 
 
 def restore(token: str, costs: list) -> list[str]:
     """Lower-case words of one token without white space, disguises undone."""
     low = token.lower()
-    core = low.strip(EDGES)
+    short = STARS.sub("*" * LONGEST, REPEATS.sub(r"\1\1\1", low))
+    core = short.strip(EDGES)
+    if not any(c.isalpha() or c in LEET and c.isalnum() for c in short):
+        return LETTERS.findall(low)  # signs alone tell no letter from another
     if core.isalpha() and not DRAWN.search(core):
         words = [core]
+    elif core and (DRAWN.search(core) or any(c in LEET or c in LINKS for c in core)):
+        words = [w for piece in pieces(core) for w in decode(piece, costs).split()]
+        words += LETTERS.findall(low)  # as it stands, too
     else:
-        odd = sum(c in LEET and not c.isalpha() or c in LINKS for c in core)
-        if not any(c.isalpha() for c in core) or len(core) > 40 or odd > 0.75 * len(core):
-            return LETTERS.findall(low)
-        words = decode(core, costs).split()
-        if odd or len(words) > 1:
-            words += LETTERS.findall(low)  # as it stands, too
-    if low[0] in "@$" and low[1:2].isalpha() and len(low) <= 40:  # such a sign may stand for a first letter
-        words += decode(low.rstrip(EDGES), costs).split()
+        words = LETTERS.findall(low)
+    # signs at the ends, and stars, may stand for letters or for nothing: both readings count
+    full = short.strip(EDGE_NOISE)
+    if full != core or "*" in core:
+        words += [w for piece in pieces(full) for w in decode(piece, costs, starred=True).split()]
     return words
 
 
@@ -141,10 +193,10 @@ def runs(text: str, costs: list) -> list[str]:
     """Words behind runs of single characters set apart by blanks or links."""
     out = []
     for m in RUN.finditer(text):
-        joined = m[0].lower()[::2]
-        if sum(c.isalpha() for c in joined) * 2 > len(joined):
-            for at in range(0, len(joined), 64):
-                out += decode(joined[at : at + 64], costs, spaced=True).split()
+        joined = m[0][::2].lower()
+        if sum(c.isalpha() or c in LEET for c in joined) * 2 > len(joined):
+            for piece in pieces(joined):
+                out += decode(piece, costs, spaced=True).split()
     return out
 
 

@@ -220,3 +220,13 @@ def test_page_text_goes_on_after_marked_links_and_unclosed_elements():
     for tag in ("button", "select", "iframe", "canvas", "video", "audio", "template"):
         assert shown(f"<p>before</p><{tag}><p>after</p>")[-1] == "after"
     assert shown("<p>before</p><script>var x = '<p>after</p>'") == ["before"]
+
+
+def test_toxicity_restores_every_disguise(spark):
+    docs = spark.createDataFrame([("the idiot has an ass and sees the idiot pass in a mass of idiots " * 20,)], "text string")
+    costs = toxicity.language_model(docs).tolist()
+    for token, word in [("a$$", "ass"), ("idi0+", "idiot"), ("!diot", "idiot"), ("idio*", "idiot"), ("455", "ass"), ("1d1075", "idiots"), ("id" + "i" * 50 + "ot", "idiot"), ("i**ot", "idiot"), ("(idiot)", "idiot"), ("x-" * 40 + "1diot", "idiot")]:
+        assert any(word in w for w in toxicity.restore(token, costs)), (token, toxicity.restore(token, costs))
+    assert "idiot" in toxicity.runs("1 d 1 0 t", costs)
+    assert any("idiot" in w for w in toxicity.runs(" ".join("m" * 62 + "idiot" + "m" * 30), costs))
+    assert toxicity.restore("*" * 5000, costs) == []
