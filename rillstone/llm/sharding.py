@@ -3,16 +3,20 @@
 A document's shard depends on its id and the number of shards alone. With one more shard, documents move only into the
 new one. Inside a shard, slots are numbered from 0 in the order of the ids' md5 digests.
 
-Defined cases: a null id hashes as key -1; null text has 8 bytes of size and checksum 0; rows with the same id
-share a shard and get slots one after another; an empty table gives an empty result; other columns are not looked at.
+Defined cases: a null id hashes as key -1, an id that is no whole number by its text; null text has 8 bytes of size and
+checksum 0; rows with the same id share a shard and have slots of their own; texts of any length are only measured and
+hashed; an empty table gives an empty result; ``place`` does not look at other columns, ``with_shards`` keeps them and
+replaces one that is named ``shard``. Slots follow the digest of id and text, so rows without an id are no hot group; only
+rows alike in both are numbered by one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hex_prefix, running_total, settle, table
+from .common import boxed, hex_prefix, running_total, settle, table, unboxed
 
 #: Multiplier of the published generator, and 2 to the power of 64.
 STEP = 2862933555777941757
@@ -47,6 +51,13 @@ def jump(key: Column, shards: int, more: int = 0) -> Column:
     return F.struct(end["small"].cast("int").alias("shard"), end["large"].cast("int").alias("grown"))
 
 
+def stable_key(docs: DataFrame, doc_id: str) -> Column:
+    """The long that decides a row's shard: the id, or a hash of its text form if it is no whole number."""
+    kind = docs.select(doc_id).schema[0].dataType
+    key = F.col(doc_id).cast("long") if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else F.xxhash64(F.col(doc_id).cast("string"))
+    return F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(key).cast("long")
+
+
 def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: size in bytes, text checksum, shard, slot, and the shard with one more shard."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -54,8 +65,8 @@ def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
-        jump(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), shards, 1).alias("_jump"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("_md5"),
+        jump(stable_key(docs, doc_id), shards, 1).alias("_jump"),
+        F.md5(F.concat_ws(":", F.col(doc_id).cast("string"), F.crc32(body).cast("string"), F.octet_length(body).cast("string")).cast("binary")).alias("_md5"),
         F.lit(1).alias("_one"),
     )
     rows = settle(rows.select("doc_id", "size", "text_crc32", F.col("_jump.shard").alias("shard"), F.col("_jump.grown").alias("grown_shard"), "_md5", "_one"))
@@ -67,7 +78,7 @@ def place(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
 
 def with_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id") -> DataFrame:
     """The documents with their shard, without any shuffle."""
-    return docs.withColumn("shard", jump(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), shards)["shard"])
+    return unboxed(boxed(docs, jump(stable_key(docs, doc_id), shards)["shard"].alias("_shard")), F.col("_shard").alias("shard"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
