@@ -4,9 +4,10 @@ Benchmark items give every run of ``n`` words (a shorter item its whole sequence
 hash of every window is looked up in the broadcast set; a hit counts only if the words themselves are the same. Nothing
 but hits, and one marker row a document, leaves the task that read the document.
 
-Defined cases: null or wordless text has no words and no hits; rows with the same id stay separate rows; an empty
-benchmark gives no hits, an empty table an empty result; a null item id counts as the empty string; item ids that
-repeat count once; other columns are not looked at.
+Defined cases: null or wordless text has no words and no hits; rows with the same id stay separate rows, and ``remove``
+and ``cut_spans`` decide each by its own text; texts of any length are searched whole; an empty benchmark gives no hits,
+an empty table an empty result; a null item id counts as the empty string; item ids that repeat count once; other columns
+pass through ``remove`` and ``cut_spans`` whatever their names (one named ``clean_words`` is replaced).
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, boxed, row_keys, settle, table, unboxed
 
 #: The window set is broadcast up to this many windows (about 200 bytes each); beyond, it is joined by a shuffle on the hash.
 MAX_BROADCAST_WINDOWS = 1_000_000
+#: The keys of contaminated rows are broadcast up to this many (24 bytes each); beyond, documents are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,19 +42,21 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, item_id: str = "item_id
     return runs.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", hashed_text: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", keyed: bool = False) -> DataFrame:
     """A row for each document: ``n_words``, the hit ``spans`` (first word from 1, number of words) and the ``items`` found.
 
-    With ``hashed_text`` also ``text_hash``, which tells rows of the same id apart.
+    If ``keyed``, also the two ``row_keys``, which tell rows of the same id apart.
+
+    Beyond ``MAX_BROADCAST_WINDOWS`` each window of a document is a slim row (its hash and its own words) that is shuffled
+    to the benchmark's windows of that hash: in proportion to the text, and adaptive execution splits a frequent window.
     """
     windows = benchmark_windows(benchmark, n)
     lengths = sorted(r["len"] for r in windows.groupBy("len").count().collect())  # at most n rows
-    marker = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_blen"), F.array().cast("array<string>").alias("_window"), F.array().cast("array<string>").alias("_items"))
-    known = windows.select(F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("_h"), F.col("len").alias("_blen"), F.col("window").alias("_window"), F.col("items").alias("_items")).unionAll(marker)
-    if known.count() <= MAX_BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    own = ["_row", "doc_id", *["text_hash"] * hashed_text]
-    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), *[F.xxhash64(F.col(text)).alias("text_hash")] * hashed_text, tokens(F.col(text)).alias("_words"))
+    known = windows.select(F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("_h"), F.col("len").alias("_blen"), F.col("window").alias("_window"), F.col("items").alias("_items"))
+    small = known.count() <= MAX_BROADCAST_WINDOWS
+    own = ["_row", "doc_id", *["_key", "_hash"] * keyed]
+    keys = [k.alias(name) for k, name in zip(row_keys(F.col(doc_id), F.col(text)), ("_key", "_hash"))] if keyed else []
+    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), *keys, tokens(F.col(text)).alias("_words"))
     hashed = words.withColumn("_words_h", F.transform("_words", lambda w: F.xxhash64(w)))
     looked = hashed.select(*own, "_words", F.size("_words").alias("n_words"), F.concat(F.array(F.lit(0).cast("long")), *[window_hashes(F.col("_words_h"), k) for k in lengths]).alias("_hashes"))
     # _hashes is never empty; the outer form keeps Spark from inferring a filter that would hash every window twice
@@ -62,8 +67,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_
         inside = (F.col("_pos") >= first) & (F.col("_pos") < first + count)
         start, size = F.when(inside, F.col("_pos") - first + 1).otherwise(start), F.when(inside, F.lit(k)).otherwise(size)
         first = first + count
-    same = (F.col("_dh") == F.col("_h")) & (F.col("_blen") == size) & ((size == 0) | (F.slice(F.col("_words"), F.greatest(start, F.lit(1)), size) == F.col("_window")))
-    found = each.join(known, same).select(*own, "n_words", start.alias("start"), size.alias("len"), "_items")
+    own_words = lambda start, size: F.slice(F.col("_words"), F.greatest(start, F.lit(1)), size)
+    if small:
+        marker = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_blen"), F.array().cast("array<string>").alias("_window"), F.array().cast("array<string>").alias("_items"))
+        same = (F.col("_dh") == F.col("_h")) & (F.col("_blen") == size) & ((size == 0) | (own_words(start, size) == F.col("_window")))
+        found = each.join(F.broadcast(known.unionAll(marker)), same).select(*own, "n_words", start.alias("start"), size.alias("len"), "_items")
+    else:
+        # a marker has a hash of its own and no window of length 0 to meet; it is kept as the row of a document without hits
+        slim = each.select(*own, "n_words", start.alias("start"), size.alias("len"), F.when(size == 0, F.col("_row")).otherwise(F.col("_dh")).alias("_dh"), own_words(start, size).alias("_own"))
+        same = (F.col("_dh") == F.col("_h")) & (F.col("len") == F.col("_blen")) & (F.col("_own") == F.col("_window"))
+        met = slim.join(known, same, "left").where((F.col("len") == 0) | F.col("_h").isNotNull())
+        found = met.select(*own, "n_words", "start", "len", F.coalesce("_items", F.array().cast("array<string>")).alias("_items"))
     span = F.when(F.col("len") > 0, F.struct("start", "len"))
     return found.groupBy(*own, "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items")).drop("_row")
 
@@ -92,24 +106,33 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def _of_row(docs: DataFrame, doc_id: str, text: str):
-    """Whether a hit's row is the document: same id and text, so that other texts of that id (or without one) are untouched."""
-    return docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_hash"))
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """Keys and spans of the rows that hold a window, each pair of keys once (equal texts have equal spans); broadcast if few."""
+    bad = hits(docs, benchmark, n, doc_id, text, keyed=True).where(F.size("spans") > 0)
+    bad = settle(bad.groupBy(F.col("_key").alias("_bkey"), F.col("_hash").alias("_bhash")).agg(F.max("spans").alias("_spans")))
+    return F.broadcast(bad) if bad.count() <= MAX_BROADCAST_ROWS else bad
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    key, hashed = row_keys(F.col(doc_id), F.col(text))
+    return boxed(docs, key.alias("_key"), hashed.alias("_hash"), F.col(text).alias("_text"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that hold any benchmark window; each row is decided by its own text, whatever its id."""
-    bad = hits(docs, benchmark, n, doc_id, text, hashed_text=True).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, _of_row(docs, doc_id, text), "left_anti")
+    bad = contaminated(docs, benchmark, n, doc_id, text)
+    return unboxed(_keyed(docs, doc_id, text).join(bad.select("_bkey", "_bhash"), (F.col("_key") == F.col("_bkey")) & (F.col("_hash") == F.col("_bhash")), "left_anti"))
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with hit words left out, as ``clean_words``: the normalised words that no hit covers."""
-    words = docs.withColumn("_words", tokens(F.col(text)))
-    found = hits(docs, benchmark, n, doc_id, text, hashed_text=True).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))  # equal texts have equal spans
-    hit = lambda i: F.exists("_spans", lambda s: (i + 1 >= s["start"]) & (i + 1 < s["start"] + s["len"]))
-    joined = words.join(found, _of_row(words, doc_id, text), "left")
-    return joined.withColumn("clean_words", F.when(F.col("_spans").isNull(), F.col("_words")).otherwise(F.filter("_words", lambda w, i: ~hit(i)))).drop("_words", "_spans", "_id", "_hash")
+    bad = contaminated(docs, benchmark, n, doc_id, text)
+    joined = _keyed(docs, doc_id, text).join(bad, (F.col("_key") == F.col("_bkey")) & (F.col("_hash") == F.col("_bhash")), "left").withColumn("_words", tokens(F.col("_text")))
+    # spans are sorted by their start: those of an array of hit positions are looked up by one merge, not once a word
+    covered_at = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("_words")), covered_at)
+    clean = F.when(F.col("_spans").isNull() | (F.size("_words") == 0), F.col("_words")).otherwise(F.transform(kept, lambda i: F.get(F.col("_words"), i - 1)))
+    return unboxed(joined, clean.alias("clean_words"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
