@@ -5,8 +5,9 @@ each path from a root to a node is a conjunction of thresholds. A logistic regre
 weights become 0, and the rest is compiled into one Column expression, so scoring is a projection of the scan.
 
 Defined cases: null text counts as empty; a text without words has all statistics 0 and is scored like any other; rows
-with the same id are scored alike; without labels of both kinds every score is the share of label 1 (0.5 without labels);
-an empty table gives an empty result; other columns pass through ``scored``.
+with the same text are scored alike; without labels of both kinds every score is the share of label 1 (0.5 without labels);
+texts of any length are measured whole; an empty table gives an empty result; other columns pass through whatever their
+names (``scored`` replaces a column named ``score`` or ``predicted``, ``accepted`` replaces none).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank_words, held_out, in_training_part, table
+from .common import blank_words, boxed, held_out, in_training_part, table, unboxed
 
 #: Labelled rows that a fit reads at most, those with the smallest hash of the id: far more than the rules need.
 MAX_LABELLED = 20_000
@@ -146,11 +147,20 @@ def lasso(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 2000, toler
     return float(b - weights @ mean), weights
 
 
-def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
-    """The rows with ``score`` and ``predicted``."""
-    measured, names = statistics(docs, text)
+def _scored(docs: DataFrame, model: RuleModel, text: str) -> DataFrame:
+    measured, _ = statistics(boxed(docs, F.col(text).alias("_text")), "_text")
     # a generated column: a filter on it is not pushed below, where every rule would measure the text again
-    return measured.withColumn("score", F.explode(F.array(model.score()))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(*names)
+    return measured.withColumn("_score", F.explode(F.array(model.score())))
+
+
+def scored(docs: DataFrame, model: RuleModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows with ``score`` and ``predicted``."""
+    return unboxed(_scored(docs, model, text), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score at least the threshold, as they are."""
+    return unboxed(_scored(docs, model, text).where(F.col("_score") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
