@@ -2,19 +2,23 @@
 
 Fingerprints are 64 majority bits over the hashes of word shingles. Documents with the same fingerprint are one node.
 Nodes meet in shards: the 64 bits are cut into ``radius + 2`` blocks, and two fingerprints that differ in at most
-``radius`` bits agree in at least two whole blocks, so a shard is a pair of blocks and their values. A shard's BK-tree
-(children keyed by their distance to the parent) is searched along edges within the radius only. A shard reports a
-spanning set of links, not all pairs; links of all shards are joined into components by star contraction. Trees grow with
-the data, so they are not broadcast but built where their shard's fingerprints are shuffled to.
+``radius`` bits agree in at least two whole blocks, so a shard is a pair of blocks and their values. A shard of more than
+``TREE`` fingerprints is split: the bits that its members may still differ in are cut into blocks in turn, until every
+shard is small (four blocks leave 32, 16, then 8 free bits, so at most 256 members). A shard's BK-tree (children keyed by
+their distance to the parent) is searched along edges within the radius only. A shard reports a spanning set of links, not
+all pairs; links of all shards are joined into components by star contraction. Trees grow with the data, so they are not
+broadcast but built where their shard's fingerprints are shuffled to.
 
 Defined cases: null or wordless text has fingerprint 0 and is linked like any other; a text of fewer than three words has
-one shingle; a null id is never the smallest (a component without any id has a null id); rows with the same id stay
-separate rows; an empty table gives an empty result; other columns pass through ``fingerprints``.
+one shingle; a text of any length is hashed whole; a null id is never the smallest (a component without any id has a null
+id); rows with the same id stay separate rows; an empty table gives an empty result. ``keep_one`` keeps further columns
+whatever their names, ``classes`` does not look at them.
 
 ``keep_one``, the pipeline's stage, has its own rule: texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 are near copies. At that similarity a fingerprint moves by ten bits and often by fifteen, too far for blocks of 64
 bits. So its shards are bands of min-hashes, fingerprints only choose whom a shard's member is compared with, and every
-link is checked on the sets themselves. Texts with equal sets are one node; all wordless texts are one.
+link is checked on the sets themselves. Texts with equal sets are one node; all wordless texts are one. A shard of more
+than ``SHARD`` members is split by a second band, and one that is still larger is dealt out in parts that share a member.
 """
 
 from __future__ import annotations
@@ -25,19 +29,21 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import boxed, row_keys, settle, table, unboxed
 
 #: Words in a shingle, seed of the hash, and most differing bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: From this many fingerprints in a shard, neighbours are looked up bit by bit: fewer steps than a dense tree's search.
-DENSE = 1024
+#: Most fingerprints in a shard's tree; larger shards are split.
+TREE = 4096
 #: The stage: words in a shingle, least similarity, bands and min-hashes in a band (a pair at 0.8 shares no band once in
 #: 4,600 times), and how many nearest members of its shard a member is compared with.
 COPY_SHINGLE, SIMILAR, BANDS, ROWS, NEAREST = 5, 0.8, 16, 4, 4
+#: Most members of a shard that one task compares, and rows of keys that are broadcast.
+SHARD, MAX_BROADCAST_ROWS = 16_384, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -87,11 +93,8 @@ class BKTree:
         return near
 
 
-def shard_links(values: list[int], free: int, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint it is linked with inside the shard) for each that isn't alone or smallest.
-
-    ``free`` has the bits in which members of this shard may differ.
-    """
+def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """(fingerprint, smallest fingerprint it is linked with inside the shard) for each that isn't alone or smallest."""
     parent = {v: v for v in values}
 
     def top(v: int) -> int:
@@ -100,56 +103,58 @@ def shard_links(values: list[int], free: int, radius: int = RADIUS) -> list[tupl
             v = parent[v]
         return v
 
-    def link(a: int, b: int) -> None:
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-
-    if len(parent) < DENSE:
-        tree = BKTree()
-        for v in parent:
-            for w in tree.add(v, radius):
-                link(v, w)
-    else:
-        bits = [1 << i for i in range(64) if free >> i & 1]
-        masks = [sum(c) for k in range(1, radius + 1) for c in combinations(bits, k)]
-        for v in parent:
-            for m in masks:
-                if v ^ m in parent:
-                    link(v, v ^ m)
+    tree = BKTree()
+    for v in parent:
+        for w in tree.add(v, radius):
+            a, b = top(v), top(w)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
     return [(v, top(v)) for v in parent if top(v) != v]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(block bits, all bits) masks of each pair of blocks."""
-    n = radius + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [a | b for a, b in combinations(block, 2)]
+def finer(mask: int, radius: int) -> list[int]:
+    """The masks of a shard's parts: the bits fixed so far, and two of the blocks that the free ones are cut into."""
+    free, n = [i for i in range(64) if not mask >> i & 1], radius + 2
+    block = [sum(1 << i for i in free[len(free) * k // n : len(free) * (k + 1) // n]) for k in range(n)]
+    return [mask | a | b for a, b in combinations(block, 2)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(masks: list[int], radius: int):
+def _search(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for pair, values in zip(batch["pair"], batch["values"]):
-                members = [int(v) & (2**64 - 1) for v in values]
-                out += [(_signed(a), _signed(b)) for a, b in shard_links(members, ~masks[pair] & (2**64 - 1), radius)]
+            for values in batch["values"]:
+                out += [(_signed(a), _signed(b)) for a, b in shard_links([int(v) & (2**64 - 1) for v in values], radius)]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within the radius, from a column ``fp``."""
-    masks = _blocks(radius)
-    shards = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    met = prints.select("fp").distinct().select("fp", shards.alias("s")).groupBy("s.pair", "s.key").agg(F.collect_list("fp").alias("values"))
-    return met.where(F.size("values") > 1).select("pair", "values").mapInPandas(_search(masks, radius), "a long, b long")
+    spark = prints.sparkSession
+    level, small, masks = prints.select("fp").distinct(), None, [0]
+    level = level.withColumn("mask", F.lit(0).cast("long"))
+    while True:
+        # one row a mask that is in use, at most a power of the number of pairs of blocks
+        parts = F.broadcast(spark.createDataFrame([(_signed(m), [_signed(f) for f in finer(m, radius)]) for m in masks], "mask long, parts array<long>"))
+        level = level.join(parts, "mask").select("fp", F.explode("parts").alias("mask")).distinct() if masks != [0] else level.join(parts, "mask").select("fp", F.explode("parts").alias("mask"))
+        level = level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        large = settle(level.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tree).select("mask", "key"))
+        masks = [r["mask"] & (2**64 - 1) for r in large.select("mask").distinct().collect()]
+        # with so few free bits a shard can't be too large, if the limit isn't either
+        masks = [m for m in masks if 64 - m.bit_count() > max(8, radius + 2)]
+        done = level if not masks else level.join(large, ["mask", "key"], "left_anti")
+        small = done if small is None else small.unionByName(done)
+        if not masks:
+            break
+        level = settle(level.join(large, ["mask", "key"], "left_semi").select("fp", "mask"))
+    met = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("values"))
+    return met.where(F.size("values") > 1).select("values").mapInPandas(_search(radius), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,8 +175,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each document (id, text hash, fingerprint), and for each fingerprint its smallest id and its component's root."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _fingerprints(F.col(text)).alias("fp")))
+    """A row for each document (id, fingerprint), and for each fingerprint its smallest id and its component's root."""
+    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints, radius))
     return prints, firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -250,16 +255,37 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
-def copy_links(docs: DataFrame, prints: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between nodes whose shingle sets have at least the similarity."""
-    nodes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("hash").alias("hash"))  # keys and fp go with the node
-    shards = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.collect_list(F.array("fp", "node")).alias("members"))
-    pairs = settle(shards.where(F.size("members") > 1).select("members").mapInPandas(_candidates, "a long, b long").distinct())
+def copy_shards(nodes: DataFrame, most: int = SHARD) -> DataFrame:
+    """Arrays ``members`` of (fingerprint, node) that share a band (or two, or a part of them), none much larger than ``most``."""
+    rows = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("band", "key")).withColumn("shard", F.xxhash64("band", "key"))
+    large = settle(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("shard"))
+    if not large.isEmpty():
+        hot = rows.join(large, "shard", "left_semi")
+        others = hot.select("node", "fp", "band", "key", F.posexplode("keys").alias("band2", "key2")).where("band <> band2")
+        both = F.array_sort(F.array(F.struct(F.col("band").alias("b"), F.col("key").alias("k")), F.struct(F.col("band2").alias("b"), F.col("key2").alias("k"))))
+        twice = settle(others.select("node", "fp", F.xxhash64(both).alias("shard")).distinct())
+        sizes = twice.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "fp")).alias("first")).where(F.col("n") > most)
+        sizes = settle(sizes)
+        dealt = twice.join(sizes.select("shard", "n"), "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most)))
+        shared = sizes.select("first.node", "first.fp", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)).alias("part"))
+        parts = dealt.select("node", "fp", "shard", "part").unionByName(shared).distinct().select("node", "fp", F.xxhash64("shard", "part").alias("shard"))
+        rows = rows.join(large, "shard", "left_anti").select("node", "fp", "shard").unionByName(twice.join(sizes, "shard", "left_anti").select("node", "fp", "shard")).unionByName(parts)
+    return rows.groupBy("shard").agg(F.collect_list(F.array("fp", "node")).alias("members")).where(F.size("members") > 1).select("members")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """A settled table of keys, to be broadcast if it is known to be small."""
+    return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_ROWS else keys
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between nodes whose shingle sets have at least the similarity; ``docs`` are boxed rows with their keys."""
+    pairs = settle(copy_shards(nodes).mapInPandas(_candidates, "a long, b long").distinct())
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "hash").join(used, "node", "left_semi")
-    # a row for each node: the first of the equal texts that have its hash
-    texts = docs.select(F.col(text).alias("_t"), F.xxhash64(F.col(text)).alias("hash")).join(wanted, "hash").groupBy("node").agg(F.min("_t").alias("_t"))
-    sets = settle(texts.select("node", _sets("_t").alias("set")))
+    wanted = _few(settle(nodes.join(used, "node", "left_semi").select("node", F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))))
+    # the text of a node is that of its best row; rows alike in id and text have the same set
+    texts = docs.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("node", _sets(F.col(f"_doc.`{text}`")).alias("set"))
+    sets = settle(texts.groupBy("node").agg(F.first("set").alias("set")))
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     checked = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
@@ -267,14 +293,19 @@ def copy_links(docs: DataFrame, prints: DataFrame, text: str = "text", similar:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id (nulls last), of several with that id one by text hash."""
-    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), _sketches(F.col(text)).alias("s")).select("doc_id", "hash", "s.*"))
-    roots = components(copy_links(docs, prints, text, similar))
-    best = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("best"))
-    placed = best.join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_id"), F.col("best.hash").alias("_hash"))
-    only = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_semi")
-    return only.dropDuplicates([doc_id, text])
+    """One document of each component of near copies: the one with the smallest id (nulls last), of several with that id one by
+    hash, of rows alike in both one by the hash of all its columns. Whole rows are shuffled once, to the keys that are kept."""
+    key, hashed = row_keys(F.col(doc_id), F.col(text))
+    rows = boxed(docs, key.alias("_key"), hashed.alias("_hash"))
+    prints = settle(docs.select(F.col(doc_id).alias("doc_id"), key.alias("_key"), hashed.alias("_hash"), _sketches(F.col(text)).alias("s")).select("doc_id", "_key", "_hash", "s.*"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash")).alias("best")
+    nodes = settle(prints.groupBy("node").agg(best, F.first("fp").alias("fp"), F.first("keys").alias("keys")))  # keys and fp go with the node
+    roots = components(copy_links(rows, nodes, text, similar))
+    placed = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
+    kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))
+    only = rows.join(kept, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    looks = F.xxhash64(*[F.col(f"_doc.`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)])
+    return unboxed(only.withColumn("_no", F.row_number().over(Window.partitionBy("_key", "_hash").orderBy(looks))).where("_no = 1"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
