@@ -1,14 +1,18 @@
 """Personal data: four checked base patterns, and bootstrapped contextual extraction on top; DataFrame functions only.
 
-Base spans (e-mail, IP address, payment card, phone) come from regular expressions and a check each. Their occurrences
-are seeds: the words before a seed, with the signs between, are lexical patterns. A graph ties patterns to the distinct
-instances they precede, where other identifier-like tokens are instances of no kind yet. Rounds of two grouped
-aggregations score patterns by the confidence of their instances and instances by that of their patterns. Tokens that
-end above the threshold are added as spans of the kind that found them.
+Base spans (e-mail, IP address, payment card, phone) come from regular expressions and a check each. Their occurrences, and
+runs of 32 and more mixed letters and digits (kind ``secret``), are seeds: the words before a seed, with the signs between,
+are lexical patterns. A graph ties patterns to the distinct instances they precede, where other identifier-like tokens are
+instances of no kind yet. In each round grouped aggregations score patterns by how many of the instances whose kind is known
+are of one kind (short numbers are known to be of none; what is not known yet counts neither way), and instances by their
+patterns. Instances above the threshold are trusted in the next round, so they can raise patterns that no seed follows;
+rounds end when nothing new is found. Instances found, and secrets, are added as spans; base spans stay as they are.
 
 Defined cases: null text is empty; offsets are in code points, the end exclusive; rows with the same id stay separate
 rows; an empty table gives an empty result; a text of any length is searched whole, in time linear in its length but for
-its matches; other columns are not looked at.
+its matches; a token that overlaps a base span is not looked at; a pattern's words are looked for in the ``CONTEXT``
+characters before a token; if ``ROUNDS`` rounds don't reach the end, the last one's finds are kept; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -29,13 +33,18 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Identifier-like tokens: between blanks, quotes or brackets, with a digit or an at sign, of 6 to 64 characters.
-TOKEN = r"(?<![^\s\"'(<\[=:,;])[A-Za-z0-9._%+#@/-]*[0-9@][A-Za-z0-9._%+#@/-]{0,63}"
+#: Identifier-like tokens, between blanks, quotes or brackets: groups of digits set apart by single blanks, or a run of
+#: letters, digits and signs with a digit or an at sign. The possessive parts keep a failed run from being tried again.
+TOKEN = r"(?<![^\s\"'(<\[=:,;|])(?:\(?[0-9][0-9().+/-]*+(?: \(?[0-9][0-9().+/-]*+)++|[A-Za-z._%+#/-]*+[0-9@][A-Za-z0-9._%+#@/-]*+)"
+#: Shorter tokens are plain numbers: known to be no identifier.
+SHORTEST = 6
+#: Seeds of a kind that has no base pattern: long runs of letters and digits mixed.
+SECRET = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/-]{32,}$"
 #: One or two words before an occurrence, with up to eight signs between.
 BEFORE = (r"(\p{L}+[^\p{L}]{0,8})$", r"(\p{L}+\s+\p{L}+[^\p{L}]{0,8})$")
 CONTEXT = 48
-#: Rounds, distinct seeds that a pattern needs, doubt added to its instances, and the confidence that adds a span.
-ROUNDS, MIN_SEEDS, DOUBT, THRESHOLD = 2, 5, 1.0, 0.8
+#: Trusted instances that a pattern needs, doubt added to them, confidence that adds an instance, and most rounds.
+MIN_TRUSTED, DOUBT, THRESHOLD, ROUNDS = 5, 1.0, 0.8, 12
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -107,7 +116,7 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     arrays = {}
     for no, kind in enumerate(KINDS):
         arrays[f"_{kind}"] = F.when(guards[kind], checked_spans(F.col("_t"), no, kind)).otherwise(none)
-    tokens = F.when(digits | guards["email"], F.filter(located(F.col("_t"), TOKEN), lambda s: F.length(s["match"]).between(6, 64))).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    tokens = F.when(digits | guards["email"], located(F.col("_t"), TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     based = body.withColumns(arrays).withColumn("_tokens", tokens)
     based = based.select("_row", "doc_id", "_t", F.array_sort(F.concat(*arrays)).alias("base"), "_tokens")
     ahead = lambda s: F.lower(F.substring("_t", F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
@@ -121,31 +130,40 @@ def found_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def graph(spans: DataFrame) -> DataFrame:
-    """Edges of the bootstrap: (instance, seed kind or null, pattern), each once."""
-    seeds = spans.select(F.explode("base").alias("s")).select(F.col("s.match").alias("instance"), F.col("s.kind").alias("seed"), F.col("s.ahead").alias("ahead"))
-    others = spans.select(F.explode("others").alias("s")).select(F.col("s.match").alias("instance"), F.lit(None).cast("string").alias("seed"), F.col("s.ahead").alias("ahead"))
+    """Edges of the bootstrap: (instance, kind if it is known, pattern), each once; short numbers are of the kind ``plain``."""
+    token = F.col("s.match")
+    seeds = spans.select(F.explode("base").alias("s")).select(token.alias("instance"), F.col("s.kind").alias("seed"), F.col("s.ahead").alias("ahead"))
+    known = F.when(F.length(token) < SHORTEST, F.lit("plain")).when(token.rlike(SECRET), F.lit("secret"))
+    others = spans.select(F.explode("others").alias("s")).select(token.alias("instance"), known.alias("seed"), F.col("s.ahead").alias("ahead"))
     patterns = F.explode(F.array(*[F.regexp_extract("ahead", p, 1) for p in BEFORE]))
     return seeds.unionAll(others).select("instance", "seed", patterns.alias("pattern")).where("pattern <> ''").distinct()
 
 
-def discover(edges: DataFrame) -> DataFrame:
-    """(instance, kind) of the instances of no base kind that end above the threshold.
+def discover(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(instance, kind) of the instances of no known kind that end above the threshold.
 
-    Patterns that never precede a seed are dropped first: they can't gain confidence from one. All aggregations combine
-    on the map side, so a pattern that precedes a large share of all instances is no burden to one task.
+    All aggregations combine on the map side, so a pattern that precedes a large share of all instances is no burden to one
+    task. A round is two grouped aggregations over the edges; it adds to what is trusted, and an instance keeps its kind.
     """
-    seeded = edges.where("seed is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("_seeds")).where(F.col("_seeds") >= MIN_SEEDS).select("pattern")
-    edges = settle(edges.join(seeded, "pattern", "left_semi"))
-    known = edges.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("sure")).distinct()
-    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    fresh = None
-    for _ in range(ROUNDS):
-        trusted = known if fresh is None else known.unionByName(fresh)
-        scores = edges.join(trusted, "instance").groupBy("pattern", "kind").agg(F.sum("sure").alias("hits")).join(totals, "pattern")
-        sure = scores.select("pattern", "kind", (F.col("hits") / (F.col("n") + DOUBT)).alias("p")).where("p >= 0.5")
-        met = edges.where("seed is null").join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("sure"))
-        fresh = settle(met.where(F.col("sure") >= THRESHOLD).groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"), F.max("sure").alias("sure")))
-    return fresh.select("instance", "kind")
+    edges = settle(edges)
+    known = edges.where("seed is not null").select("pattern", F.col("seed").alias("kind"), F.lit(1.0).alias("sure"))
+    open_ = edges.where("seed is null").select("instance", "pattern")
+    found, n = None, 0
+    for _ in range(rounds):
+        trusted = known if found is None else known.unionByName(open_.join(found, "instance").select("pattern", "kind", "sure"))
+        by_kind = trusted.groupBy("pattern").pivot("kind", [*KINDS, "secret", "plain"]).agg(F.sum("sure"))
+        hits = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in (*KINDS, "secret")}
+        total = sum(hits.values()) + F.coalesce("plain", F.lit(0.0)) + DOUBT
+        best = F.array_max(F.array(*[F.struct(h.alias("hits"), F.lit(k).alias("kind")) for k, h in hits.items()]))
+        sure = by_kind.select("pattern", best.alias("best"), total.alias("total")).where(F.col("best.hits") >= MIN_TRUSTED - 1e-9)
+        sure = sure.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.hits") / F.col("total")).alias("p")).where("p >= 0.5")
+        met = open_.join(sure, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("sure"))
+        fresh = met.where(F.col("sure") >= THRESHOLD).groupBy("instance").agg(F.max_by("kind", F.struct("sure", "kind")).alias("kind"), F.max("sure").alias("sure"))
+        found = settle(fresh if found is None else found.unionByName(fresh.join(found, "instance", "left_anti")))
+        before, n = n, found.count()
+        if n == before:
+            break
+    return found.select("instance", "kind")
 
 
 def listed(spans: Column) -> Column:
@@ -153,12 +171,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """For each document: numbers of base spans by kind, their digest, and all spans; ``n_found`` counts the added ones."""
     spans = settle(found_spans(docs, doc_id, text))
-    added = discover(graph(spans))
-    kind_no = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    where = spans.select("_row", F.explode("others").alias("s")).join(added, F.col("s.match") == F.col("instance"))
+    added = discover(graph(spans), rounds)
+    kind_no = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "secret")]), F.col("kind")).cast("int") - 1
+    tokens = spans.select("_row", F.explode("others").alias("s")).where(F.length("s.match") >= SHORTEST)
+    secrets = tokens.where(F.col("s.match").rlike(SECRET)).withColumn("kind", F.lit("secret"))
+    where = tokens.join(added, F.col("s.match") == F.col("instance")).drop("instance").unionByName(secrets)
     extra = where.groupBy("_row").agg(F.collect_list(F.struct(F.col("s.start").alias("start"), kind_no.alias("no"), F.col("s.end").alias("end"), F.col("kind").alias("kind"))).alias("extra"))
     base = F.transform("base", lambda s: F.struct(s["start"], s["no"], s["end"], s["kind"]))
     joined = spans.join(extra, "_row", "left").withColumn("_base", base).withColumn("extra", F.coalesce("extra", F.array().cast("array<struct<start:int,no:int,end:int,kind:string>>")))
@@ -169,6 +189,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.array_sort(F.concat("_base", "extra"))).alias("spans"),
         F.size("extra").cast("long").alias("n_found"),
+        (F.size("_base") + F.size("extra")).cast("long").alias("n_private"),
     )
 
 
