@@ -6,9 +6,10 @@ token, and each run of single characters set apart, is a lattice of readings tha
 has one reading. Restored words and their stems are weighed by a lexicon learned from labelled rows, and a logistic
 curve over a document's weights gives the score.
 
-Defined cases: null text is empty; a text without words is scored from its (zero) weights; rows with the same id are
-scored alike; without toxic and clean training rows every score is the share of label 1 (0 without labels); an
-empty table gives an empty result; other columns pass through ``scored``.
+Defined cases: null text is empty; a text without words is scored from its (zero) weights; tokens, runs and texts of any
+length are decoded whole; rows with the same text are scored alike, whatever their ids; without toxic and clean training
+rows every score is the share of label 1 (0 without labels); an empty table gives an empty result; ``scored`` keeps the
+columns it is asked to, whatever their names (it replaces one named ``score`` or ``predicted``).
 """
 
 from __future__ import annotations
@@ -41,10 +42,8 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 EDGE_NOISE = "".join(c for c in EDGES if c not in LEET and c != "*")
 RUN = re.compile(r"(?<!\S)(?:\S[ ._*-]){2,}\S(?!\S)")
 DRAWN = re.compile(r"(\w)\1\1")
-#: Repeats have the same readings from three on; of stars each may be a letter, but no word has more than the longest.
-REPEATS, STARS = re.compile(r"([^*])\1{3,}"), re.compile(r"\*{41,}")
-#: Long tokens and runs are decoded in pieces that share the length of the longest word.
-PIECE, LONGEST = 64, 40
+#: Repeats have the same readings from three on; of stars each may be a letter, and longer rows of stars are read as this many.
+REPEATS, STARS, LONGEST = re.compile(r"([^*])\1{3,}"), re.compile(r"\*{41,}"), 40
 LETTERS = re.compile(r"[^\W\d_]+")
 
 BYTE_CLASS = np.zeros(256, np.int64)
@@ -108,12 +107,22 @@ def lattice(token: str, spaced: bool, starred: bool = False) -> list[list[tuple[
 
 #: The costs last decoded with, the same as an array, and what follows two classes at best: (cost, letters) by suffix.
 _LAST: list = [None, None, {}]
+#: A way through the lattice: its cost, and its letters as a chain (way before, letters) that ways share.
+Way = tuple[float, tuple | None]
 
 
-def _advance(states: dict[tuple[int, int], tuple[float, str]], stretches: list, costs: list) -> dict[tuple[int, int], tuple[float, str]]:
+def _spelt(chain: tuple | None) -> str:
+    parts = []
+    while chain is not None:
+        chain, letters = chain
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
+def _advance(states: dict[tuple[int, int], Way], stretches: list, costs: list) -> dict[tuple[int, int], Way]:
     """The cheapest way to each pair of last classes after some more stretches."""
     for readings in stretches:
-        following: dict[tuple[int, int], tuple[float, str]] = {}
+        following: dict[tuple[int, int], Way] = {}
         if len(readings) > 26:  # any letter: all states at once
             readings = [r for r in readings if r[1] != WILD]
             known = np.full((CLASSES, CLASSES), np.inf)
@@ -123,8 +132,8 @@ def _advance(states: dict[tuple[int, int], tuple[float, str]], stretches: list,
             came, least = ways.argmin(axis=0).tolist(), (ways.min(axis=0) + WILD).tolist()
             for b in {b for _, b in states}:
                 for z in range(26):
-                    following[b, z + 1] = (least[b][z], states[came[b][z], b][1] + chr(97 + z))
-        for (a, b), (cost, text) in states.items():
+                    following[b, z + 1] = (least[b][z], (states[came[b][z], b][1], chr(97 + z)))
+        for (a, b), (cost, chain) in states.items():
             for letters, price in readings:
                 x, y, c = a, b, cost + price
                 for ch in letters:
@@ -132,17 +141,18 @@ def _advance(states: dict[tuple[int, int], tuple[float, str]], stretches: list,
                     c += costs[x][y][z]
                     x, y = y, z
                 if (x, y) not in following or c < following[x, y][0]:
-                    following[x, y] = (c, text + letters)
+                    following[x, y] = (c, (chain, letters) if letters else chain)
         states = following
     return states
 
 
-def _end(states: dict[tuple[int, int], tuple[float, str]], costs: list) -> tuple[float, str]:
-    return min((c + costs[x][y][0], text) for (x, y), (c, text) in states.items())
+def _end(states: dict[tuple[int, int], Way], costs: list) -> Way:
+    return min(((c + costs[x][y][0], chain) for (x, y), (c, chain) in states.items()), key=lambda way: way[0])
 
 
 def decode(token: str, costs: list, spaced: bool = False, starred: bool = False) -> str:
-    """The likeliest plain text behind a lower-case token: Viterbi over the last two letter classes."""
+    """The likeliest plain text behind a lower-case token: one Viterbi pass over the last two letter classes, in time
+    linear in its length."""
     if _LAST[0] is not costs:
         _LAST[:] = costs, np.array(costs), {}
     letters = len(token)
@@ -150,22 +160,19 @@ def decode(token: str, costs: list, spaced: bool = False, starred: bool = False)
         letters -= 1
     suffix = token[letters:]
     if spaced or "*" not in suffix:
-        return _end(_advance({(0, 0): (0.0, "")}, lattice(token, spaced, starred), costs), costs)[1]
+        return _spelt(_end(_advance({(0, 0): (0.0, None)}, lattice(token, spaced, starred), costs), costs)[1])
     # the readings of a suffix with stars depend on the two classes before it only, and the same suffixes come again
     best, ends = [], _LAST[2]
-    for (x, y), (c, text) in _advance({(0, 0): (0.0, "")}, lattice(token[:letters], False, starred), costs).items():
+    for (x, y), (c, chain) in _advance({(0, 0): (0.0, None)}, lattice(token[:letters], False, starred), costs).items():
         key = (x, y, suffix, starred)
         if key not in ends:
             if len(ends) > 100_000:
                 ends.clear()
-            ends[key] = _end(_advance({(x, y): (0.0, "")}, lattice(suffix, False, starred), costs), costs)
-        best.append((c + ends[key][0], text + ends[key][1]))
-    return min(best)[1]
-
-
-def pieces(text: str) -> list[str]:
-    """A text in pieces, each with the next word's length of the following one."""
-    return [text[at : at + PIECE + LONGEST] for at in range(0, max(1, len(text) - LONGEST), PIECE)]
+            cost, end = _end(_advance({(x, y): (0.0, None)}, lattice(suffix, False, starred), costs), costs)
+            ends[key] = cost, _spelt(end)
+        best.append((c + ends[key][0], chain, ends[key][1]))
+    _, chain, end = min(best, key=lambda way: way[0])
+    return _spelt(chain) + end
 
 
 def restore(token: str, costs: list) -> list[str]:
@@ -178,14 +185,14 @@ def restore(token: str, costs: list) -> list[str]:
     if core.isalpha() and not DRAWN.search(core):
         words = [core]
     elif core and (DRAWN.search(core) or any(c in LEET or c in LINKS for c in core)):
-        words = [w for piece in pieces(core) for w in decode(piece, costs).split()]
+        words = decode(core, costs).split()
         words += LETTERS.findall(low)  # as it stands, too
     else:
         words = LETTERS.findall(low)
     # signs at the ends, and stars, may stand for letters or for nothing: both readings count
     full = short.strip(EDGE_NOISE)
     if full != core or "*" in core:
-        words += [w for piece in pieces(full) for w in decode(piece, costs, starred=True).split()]
+        words += decode(full, costs, starred=True).split()
     return words
 
 
@@ -195,8 +202,7 @@ def runs(text: str, costs: list) -> list[str]:
     for m in RUN.finditer(text):
         joined = m[0][::2].lower()
         if sum(c.isalpha() or c in LEET for c in joined) * 2 > len(joined):
-            for piece in pieces(joined):
-                out += decode(piece, costs, spaced=True).split()
+            out += decode(joined, costs, spaced=True).split()
     return out
 
 
@@ -215,7 +221,7 @@ def _features(costs: list):
                                 known.clear()
                             words = known[token] = tuple(restore(token, costs))
                         found.update(words)
-                    found = {w for w in found if 3 <= len(w) <= 40}
+                    found = {w for w in found if len(w) >= 3}
                     stems = {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
                     # texts with the same words count once
                     sketch = xxhash.xxh64_intdigest(" ".join(sorted(found)).encode("utf-8", "surrogatepass")) >> 1
@@ -264,8 +270,8 @@ def _measures(model: Model):
 
 
 def measured(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and the three measures of every text."""
-    kept = docs.select(*keep, F.col(text).alias("_t"))
+    """The kept columns, as ``_k0`` and so on, and the three measures of every text."""
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_t").schema)
     return kept.mapInPandas(_measures(model), f"{schema}, _x1 double, _x2 double, _x3 double")
 
@@ -288,21 +294,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id").select("text", "toxic")
     seen = sample.mapInPandas(_features(costs.tolist()), "sketch long, toxic int, features array<string>").dropDuplicates(["sketch", "toxic"])
     seen = seen.persist()
-    base = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    t, c = base.get(1, 0), base.get(0, 0)
-    if not t or not c:
+    try:
+        base = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        t, c = base.get(1, 0), base.get(0, 0)
+        if not t or not c:
+            share = min(max(t / (t + c) if t + c else 0.0, 1e-6), 1 - 1e-6)
+            return Model(costs, {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
+        counts = seen.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+        rate, share = t / (t + c), F.col("t") / (F.col("t") + F.col("c"))
+        evidence = F.col("t") * F.log(share / rate) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+        odds = F.log((F.col("t") + 0.2) / (t + 0.4)) - F.log((F.col("c") + 0.2) / (c + 0.4))
+        entries = counts.where((share >= MIN_SHARE) & (F.col("t") >= 4)).where(evidence >= MIN_EVIDENCE).select("feature", odds.alias("w")).collect()  # at most max_labelled / 4 times a document's words
+    finally:
         seen.unpersist()
-        share = min(max(t / (t + c) if t + c else 0.0, 1e-6), 1 - 1e-6)
-        return Model(costs, {}, [math.log(share / (1 - share)), 0.0, 0.0, 0.0])
-    counts = seen.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    rate, share = t / (t + c), F.col("t") / (F.col("t") + F.col("c"))
-    evidence = F.col("t") * F.log(share / rate) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    odds = F.log((F.col("t") + 0.2) / (t + 0.4)) - F.log((F.col("c") + 0.2) / (c + 0.4))
-    entries = counts.where((share >= MIN_SHARE) & (F.col("t") >= 4)).where(evidence >= MIN_EVIDENCE).select("feature", odds.alias("w")).collect()  # at most max_labelled / 4 times a document's words
-    seen.unpersist()
     model = Model(costs, {r["feature"]: r["w"] for r in entries}, [])
-    rows = measured(sample, model, "text", ("toxic",)).toPandas()
-    model.beta = _logistic(rows[["_x1", "_x2", "_x3"]].to_numpy(float), rows["toxic"].to_numpy(float))
+    values = [F.col(c) for c in ("_k0", "_x1", "_x2", "_x3")]
+    rows = measured(sample, model, "text", ("toxic",)).select(*values).orderBy(F.xxhash64(*values)).limit(2 * max_labelled).toPandas()  # ids may repeat
+    model.beta = _logistic(rows[["_x1", "_x2", "_x3"]].to_numpy(float), rows["_k0"].to_numpy(float))
     return model
 
 
@@ -310,7 +318,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     """The kept columns with ``score`` and ``predicted``."""
     b = model.beta
     odds = b[0] + b[1] * F.col("_x1") + b[2] * F.col("_x2") + b[3] * F.col("_x3")
-    return measured(docs, model, text, keep).withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_x1", "_x2", "_x3")
+    rows = measured(docs, model, text, keep).withColumn("_score", 1 / (1 + F.exp(-odds)))
+    own = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep) if c not in ("score", "predicted")]
+    return rows.select(*own, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
