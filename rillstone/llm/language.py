@@ -8,7 +8,8 @@ language and an address suffix can be trusted, and give each host a prior that i
 domain, which is smoothed by that of all pages. A page is taken out of its own prior. The sum of the four is the answer.
 
 Defined cases: null html is empty, and a page without letters is decided by the other evidence; a null or unreadable url
-has the empty host and suffix; no declared language is a value of its own; repeated pages are separate rows; without
+has the empty host and suffix; no declared language is a value of its own; repeated pages are separate rows; texts of any length are read whole;
+more than ``MAX_LANGUAGES`` stated languages are an error; without
 labelled documents there are no languages, and ``lang`` and ``confidence`` are null; ties go to the first language by
 code point; an empty table gives an empty result; other columns are not looked at.
 """
@@ -28,6 +29,10 @@ from .common import settle, table
 SLOTS, PSEUDO, EFFECTIVE = 1 << 16, 0.5, 40.0
 #: Pseudo-counts behind a host's prior (from its domain), a domain's (from all pages), and a declared value or suffix.
 HOST_WEIGHT, DOMAIN_WEIGHT, CHANNEL_WEIGHT = 4.0, 8.0, 2.0
+#: Most languages: each costs the driver and every task half a megabyte.
+MAX_LANGUAGES = 512
+#: Labels under which a country's registry sells names, as in example.co.uk.
+SECOND_LEVEL = "ac co com edu gob gov gub ltd mil net nic nom or org ne go plc sch".split()
 #: Hosts up to this number are broadcast; more are joined by a shuffle, whose hot partitions adaptive execution splits.
 MAX_BROADCAST_HOSTS = 100_000
 
@@ -67,6 +72,8 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[s
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("lang is not null")
     sums = labelled.mapInPandas(_count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are stated, more than the {MAX_LANGUAGES} that fit in memory; map them to fewer")
     counts = np.full((len(langs), SLOTS), PSEUDO)
     counts[sums["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), sums["slot"].to_numpy(int)] += sums["n"].to_numpy(float)
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
@@ -92,6 +99,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def registered_domain(host: Column) -> Column:
+    """The last two labels of a host, or three if the last two are a country's registry label and its code."""
+    under = rf"([^.]+\.(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}})$"
+    long = F.regexp_extract(host, under, 1)
+    return F.when(long != "", long).otherwise(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
+
+
 def text_evidence(pages: DataFrame, langs: list[str], table_: np.ndarray, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A slim row for each page: the addresses, the declared language and one log-likelihood a language."""
     shared = pages.sparkSession.sparkContext.broadcast(table_)  # languages x SLOTS
@@ -110,7 +124,7 @@ def text_evidence(pages: DataFrame, langs: list[str], table_: np.ndarray, page_i
         F.col(page_id).alias("page_id"),
         F.col(url).alias("url"),
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        registered_domain(host).alias("domain"),
         F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"),
         declared_language(F.col(html)).alias("declared"),
         likelihoods(visible_text(F.col(html))).alias("text_ll"),
