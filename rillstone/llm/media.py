@@ -3,16 +3,21 @@
 Each byte of a payload is the level of one 8 x 8 block of a grey image, 64 blocks to a row. With a quantiser of 8 a block's
 DC coefficient is the byte less 128, so nothing is lost, and a block's AC part is one end-of-block code. The Huffman table
 for DC categories gives category c a code of 9 - c bits: with the c bits that follow, every block takes 10 bits, and both
-directions work on whole arrays. The reader decodes any baseline file (several components, sampling, restarts, AC codes);
-such files take its step-by-step path.
+directions work on whole arrays. The reader decodes any baseline file (several components, sampling, restarts, AC codes).
+It decodes by the tables that the file itself holds: where these give every block with no AC part the same number of bits,
+each such stretch of bits is decoded once and the scan's blocks are looked up; a scan with any other block, several
+components or restarts is decoded step by step.
 
 Defined cases: null text is empty; an empty text gives 64 zero bytes; a payload beyond the height limit of one image
-(524,224 bytes) is stored as images one after another; equal texts give equal bytes; other columns pass through.
+(524,224 bytes) is stored as images one after another, so texts of any length are whole; equal texts and repeated rows give
+equal bytes; null media, and bytes that are no whole baseline image, read as nulls; an empty table gives an empty result;
+other columns pass through, but one of the name given to ``store`` is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import boxed, table, unboxed
 
 #: Blocks in a row of an image; most rows of blocks in 65,535 lines.
 ROW = 64
@@ -59,10 +64,10 @@ def _codes() -> np.ndarray:
 
 
 CODES = _codes()
-DIFFS = np.zeros(1024, np.int32)
-DIFFS[CODES.astype(np.int64)] = np.arange(-255, 256)
 HEAD = b"\xff\xd8" + _segment(DQT, bytes([0]) + bytes([8] * 64))
 TABLES = _segment(DHT, bytes([0x00] + [1] * 9 + [0] * 7 + [8, 7, 6, 5, 4, 3, 2, 1, 0])) + _segment(DHT, bytes([0x10, 1] + [0] * 15 + [0]))
+#: Marks bits that are no block without AC part.
+NOT_ONE = 1 << 20
 SCAN = _segment(SOS, bytes([1, 1, 0x00, 0, 63, 0]))
 
 
@@ -122,6 +127,54 @@ class _Bits:
         return v if size == 0 or v >> (size - 1) else v - (1 << size) + 1
 
 
+#: What ``_same_length`` made of the tables seen so far; a worker sees few.
+_KNOWN: dict[tuple, tuple[int, np.ndarray] | None] = {}
+
+
+def _same_length(dc: dict[tuple[int, int], int], ac: dict[tuple[int, int], int]) -> tuple[int, np.ndarray] | None:
+    """Bits of a block without AC part, and the difference behind each value of so many bits (or a mark where it isn't one).
+
+    None if the tables give such blocks different lengths, or more than 16 bits.
+    """
+    key = (tuple(dc.items()), tuple(ac.items()))
+    if key not in _KNOWN:
+        if len(_KNOWN) > 1000:
+            _KNOWN.clear()
+        end = next((k for k, symbol in ac.items() if symbol == 0), None)
+        widths = {length + size + end[0] for (length, _), size in dc.items()} if end else set()
+        _KNOWN[key] = None
+        if len(widths) == 1 and max(widths) <= 16:
+            width = max(widths)
+            behind = np.full(1 << width, NOT_ONE, np.int32)
+            for (length, code), size in dc.items():
+                value = np.arange(1 << size)
+                at = ((code << size | value) << end[0]) | end[1]
+                behind[at] = np.where(value >> max(size - 1, 0) == (1 if size else 0), value, value - (1 << size) + 1)
+            _KNOWN[key] = width, behind
+    return _KNOWN[key]
+
+
+def _alike_dc(frame: dict, tables: dict, scan: list, stretches: list[bytes], restart: int) -> np.ndarray | None:
+    """DC values of a one-component scan whose blocks all have the same number of bits and no AC part; else None."""
+    dc, ac = scan[0][1]
+    if len(frame["parts"]) > 1 or restart or len(stretches) > 1:
+        return None
+    found = _same_length(tables[0, dc], tables[1, ac])
+    across, down = -(-frame["width"] // 8), -(-frame["height"] // 8)
+    if found is None:
+        return None
+    width, behind = found
+    n, bits = across * down, np.unpackbits(np.frombuffer(stretches[0], np.uint8))
+    if len(bits) < n * width:
+        return None
+    # each block's bits as one number; the first block starts at the first bit, so every block that is one starts the next
+    value = np.zeros(n, np.int32)
+    for one in bits[: n * width].reshape(n, width).T:
+        value = value << 1 | one
+    diffs = behind[value]
+    return None if (diffs == NOT_ONE).any() else np.cumsum(diffs, dtype=np.int32).reshape(down, across)
+
+
 def _luminance_dc(frame: dict, tables: dict, scan: list, stretches: list[bytes], restart: int) -> np.ndarray:
     """DC values of the first component, as a grid of blocks; step by step."""
     parts = frame["parts"]
@@ -160,8 +213,7 @@ def decode(media: bytes) -> list[tuple[int, int, np.ndarray]]:
         if media[at : at + 2] != b"\xff\xd8":
             raise ValueError("no image starts here")
         at += 2
-        quant, tables, frame, restart, scan = {}, {}, {}, 0, None
-        raw: dict[tuple[int, int], bytes] = {}
+        quant, tables, frame, restart, scan, dc = {}, {}, {}, 0, None, None
         while True:
             while media[at + 1] == 0xFF:
                 at += 1
@@ -181,7 +233,6 @@ def decode(media: bytes) -> list[tuple[int, int, np.ndarray]]:
                 while body:
                     n = sum(body[1:17])
                     tables[body[0] >> 4, body[0] & 15] = _lookup(body[1:17], body[17 : 17 + n])
-                    raw[body[0] >> 4, body[0] & 15] = body[1 : 17 + n]
                     body = body[17 + n :]
             elif marker == DRI:
                 restart = int.from_bytes(body, "big")
@@ -204,14 +255,10 @@ def decode(media: bytes) -> list[tuple[int, int, np.ndarray]]:
                         break
                 stretches.append(media[start:at].replace(b"\xff\x00", b"\xff"))
                 if frame["parts"][0][0] in [p for p, _ in scan]:
-                    ours = raw.get((0, 0)) == TABLES[5:30] and raw.get((1, 0)) == TABLES[35:52] and len(frame["parts"]) == 1 and not restart
-                    if ours:
-                        five = np.frombuffer(stretches[0], np.uint8).reshape(-1, 5).astype(np.uint64)
-                        forty = (five[:, 0] << 32) | (five[:, 1] << 24) | (five[:, 2] << 16) | (five[:, 3] << 8) | five[:, 4]
-                        ten = (forty[:, None] >> np.array([30, 20, 10, 0], np.uint64)) & np.uint64(1023)
-                        dc = np.cumsum(DIFFS[ten.ravel().astype(np.int64)], dtype=np.int32).reshape(-1, frame["width"] // 8)
-                    else:
-                        dc = _luminance_dc(frame, tables, scan, stretches, restart)
+                    dc = _alike_dc(frame, tables, scan, stretches, restart)
+                    dc = _luminance_dc(frame, tables, scan, stretches, restart) if dc is None else dc
+        if dc is None:
+            raise ValueError("no scan of the first component")
         level = np.clip((dc * quant[frame["parts"][0][3]] + 4) // 8 + 128, 0, 255).astype(np.uint8)
         out.append((frame["width"], frame["height"], level))
     return out
@@ -234,22 +281,44 @@ def _store(texts: pd.Series) -> pd.Series:
     return pd.Series([encode(pad((t or "").encode("utf-8", "surrogatepass"))) for t in texts], dtype=object)
 
 
+def described(media: bytes | None) -> tuple:
+    """What ``READ`` names, of a media value; nulls if it isn't one."""
+    try:
+        images = decode(media or b"")
+    except (ValueError, IndexError, KeyError):  # cut off, or no baseline image
+        images = []
+    if not images:
+        return (None,) * 6
+    payload = b"".join(t.tobytes() for _, _, t in images)
+    width, height = images[0][0], sum(h for _, h, _ in images)
+    look = thumbnail_hash(np.vstack([t for _, _, t in images])) if len({t.shape[1] for _, _, t in images}) == 1 else thumbnail_hash(images[0][2])
+    return payload, width, height, len(images), hashlib.sha256(payload).hexdigest(), f"jpeg:{width}x{height}:{look}"
+
+
 @F.pandas_udf(READ)
 def _read(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in media:
+        rows = [described(m) for m in batch]
+        yield pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype="Int32" if isinstance(f.dataType, T.IntegerType) else object) for i, f in enumerate(READ)})
+
+
+#: As ``READ``, without the payload itself: its length, digest and the checksum of its last 64 bytes.
+DIGEST = T.StructType([T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), *READ.fields[1:4], READ["feature"]])
+
+
+@F.pandas_udf(DIGEST)
+def _digest(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in media:
         rows = []
         for m in batch:
-            images = decode(m)
-            payload = b"".join(t.tobytes() for _, _, t in images)
-            width, height = images[0][0], sum(h for _, h, _ in images)
-            look = thumbnail_hash(np.vstack([t for _, _, t in images])) if len({t.shape[1] for _, _, t in images}) == 1 else thumbnail_hash(images[0][2])
-            rows.append((payload, width, height, len(images), hashlib.sha256(payload).hexdigest(), f"jpeg:{width}x{height}:{look}"))
-        yield pd.DataFrame(rows, columns=["payload", "width", "height", "images", "thumb_sha256", "feature"])
+            payload, width, height, images, sha256, feature = described(m)
+            rows.append((None if payload is None else len(payload), sha256, None if payload is None else zlib.crc32(payload[-ROW:]), width, height, images, feature))
+        yield pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype={"long": "Int64", "integer": "Int32"}.get(f.dataType.typeName(), object)) for i, f in enumerate(DIGEST)})
 
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """The rows with their text as JPEG bytes in column ``media``."""
-    return docs.withColumn(media, _store(F.col(text)))
+    return unboxed(boxed(docs, _store(F.col(text)).alias("_media")), F.col("_media").alias(media))
 
 
 def read(media: Column) -> Column:
@@ -257,19 +326,24 @@ def read(media: Column) -> Column:
     return _read(media)
 
 
+def digest(media: Column) -> Column:
+    """Struct of what the stored bytes hold, with the payload's length and checksums in its place: nothing large comes back."""
+    return _digest(media)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op10_media``: all documents stored, read back and digested."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), "text")
-    back = store(docs).select("doc_id", "n_bytes", "media", read(F.col("media")).alias("r"))
+    back = store(docs).select("doc_id", "n_bytes", "media", digest(F.col("media")).alias("r"))
     return back.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("r.payload").cast("long").alias("payload_bytes"),
-        F.sha2(F.col("r.payload"), 256).alias("payload_sha256"),
-        F.crc32(F.substring(F.col("r.payload"), -64, 64)).alias("tail_crc32"),
+        "r.payload_bytes",
+        "r.payload_sha256",
+        "r.tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2(F.col("media"), 256).alias("media_sha256"),
-        F.col("r.feature").alias("feature"),
-        F.col("r.width").alias("width"),
-        F.col("r.height").alias("height"),
+        "r.feature",
+        "r.width",
+        "r.height",
     )
