@@ -1,13 +1,18 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A linear score for each block (words, link share, final punctuation, kind and
-surroundings) is its terminal capacity, to the content side if positive and to the boilerplate side if negative.
-Neighbouring blocks, and blocks that follow each other under the same parent element, are tied by smoothness edges. A
-maximum flow separates the two sides at least cost; blocks on the content side are the main text.
-
-Defined cases: null html is empty; a page without content blocks has empty text; broken markup never fails (unclosed
-paragraphs and rows end where the next begins, stray end tags are ignored, an unfinished tag is text); other columns are
-not looked at; an empty table gives an empty result.
+A page becomes a row of text blocks. A classifier gives each block log-odds to be content, which are its terminal capacity:
+to the content side if positive, to the boilerplate side if negative. The weights of what a block's text looks like (words,
+link share, final punctuation, kind) are fitted: blocks that the markup itself places inside or outside the article, on a
+bounded sample of pages, are the labelled rows of a logistic regression, which is drawn towards the weights given here where
+they say little. What the markup says of a block comes on top. Neighbouring blocks, and blocks that follow each other under
+the same parent element, are tied by smoothness edges. A maximum flow separates the two sides at least cost; blocks on the
+content side are the main text.
+
+Defined cases: null html is empty; a page without content blocks has empty text; a page of any length is read whole, in time
+linear in its length but for the cut; repeated pages and ids are separate rows with equal texts; broken markup never fails
+(unclosed paragraphs and rows end where the next begins, stray end tags are ignored, an unfinished tag is text, an element
+that is not shown and has no end tag is passed over, but scripts, styles, text areas and titles take the rest of the page as
+in a browser); other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ import html as entities
 import math
 import re
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +31,14 @@ from pyspark.sql import types as T
 
 from .common import table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</([a-zA-Z][^\s>]*+)[^>]*+>|<[!?/][^>]*+>|[^<]++|<""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
+def _token(attributes: str) -> re.Pattern:
+    return re.compile(rf"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*+)({attributes})>|</([a-zA-Z][^\s>]*+)[^>]*+>|<[!?/][^>]*+>|[^<]++|<""", re.S)
+
+
+#: The pieces of a page. Once a quote is not closed before the end, quotes mean nothing from there on, so no search is repeated.
+TOKEN = _token(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+LOOSE_TOKEN = _token(r"[^>]*+")
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
 
 # Kinds of elements and words of class, id and role attributes.
 #: Their text is never shown as prose.
@@ -47,14 +60,17 @@ FENCE = set("table ul ol dl div section article main body aside nav footer heade
 BESIDE_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright dialog disclaimer discuss discussion disqus "
     "foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager paging pagination popup privacy promo promoted promotion recommend recommended recommendations related replies "
-    "reply respond response responses search share sharing sidebar sidebars side signin signup skip social sponsor sponsored sponsors subscribe subscription tagcloud teaser toc toolbar topbar widget widgets complementary alert signup reviews".split()
+    "reply respond response responses search share sharing sidebar sidebars side signin signup skip social sponsor sponsored sponsors subscribe subscription tagcloud teaser toc toolbar topbar widget widgets complementary alert signup".split()
 )
 ARTICLE_WORDS = set("article articlebody post entry story main content body text prose".split())
 
-#: Weights of the block score, and capacities of the smoothness edges.
-WEIGHT = {"base": -1.0, "log_words": 0.9, "sentence": 1.0, "links": -6.0, "in_article": 3.0, "out_of_article": -3.0, "prose_tag": 1.0, "beside": -20.0}
-NEXT, SIBLING = 1.0, 0.75
-MOST = 8.0
+#: Weights of the block score: those of a text's looks, to which fitted ones are drawn, and those of its surroundings.
+LOOKS = {"base": -1.0, "log_words": 0.9, "sentence": 1.0, "links": -6.0, "prose_tag": 1.0}
+PLACE = {"in_article": 3.0, "out_of_article": -3.0, "beside": -20.0}
+#: Capacities of the smoothness edges, most that a text's looks count for, and most that a block's score is.
+NEXT, SIBLING, MOST_LOOKS, MOST = 1.0, 0.75, 4.0, 8.0
+#: Pages that a fit reads at most (those with the smallest hash), and blocks that it looks at.
+MAX_PAGES, MAX_BLOCKS = 2_000, 50_000
 
 
 def blocks(page: str) -> list[dict]:
@@ -75,20 +91,30 @@ def blocks(page: str) -> list[dict]:
         buffer.clear()
         linked = 0
 
-    at, end, low = 0, len(page), None
+    at, end, last, token, unclosed = 0, len(page), page.rfind(">"), TOKEN, set()
+
+    def after(tag: str) -> int:
+        """Where the next end tag of a kind is, or -1; what isn't there is looked for once."""
+        found = None if tag in unclosed else re.compile(f"</{tag}(?![a-z0-9-])", re.I | re.A).search(page, at)
+        if found is None:
+            unclosed.add(tag)
+        return found.start() if found else -1
+
     while at < end:
-        m = TOKEN.match(page, at)
+        if at > last:  # no tag ends any more, and an unfinished one is text
+            buffer.append(page[at:].partition("<!--")[0])
+            break
+        m = token.match(page, at)
+        if len(m[0]) == 1 and m[0] == "<" and token is TOKEN and page[at + 1 : at + 2].isalpha():
+            token = LOOSE_TOKEN
+            m = token.match(page, at)
         at = m.end()
         if m[1]:
             tag = m[1].lower()
             if tag in SKIPPED:
-                if tag in ("head", "object", "map", "svg", "math") or m[2].endswith("/"):
-                    if tag in ("svg", "math") and not m[2].endswith("/"):
-                        stop = page.find(f"</{tag}", at)
-                        at = stop if stop >= 0 else at
+                if tag in ("head", "object", "map") or m[2].endswith("/"):
                     continue
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{tag}", at) if len(low) == end else page.find(f"</{tag}", at)
+                stop = after(tag)
                 if stop >= 0 or tag in RAW:
                     at = end if stop < 0 else stop
                 continue
@@ -153,17 +179,65 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
-def score(b: dict) -> float:
+def looks(b: dict) -> tuple[float, float, float, float]:
+    """What a block's text looks like: log of its words, ends like a sentence, share of links, kind of prose element."""
+    prose = b["tag"] in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
+    return math.log1p(b["text"].count(" ") + 1), float(b["text"][-1] in ".!?…:;\"'»”)"), b["linked"], float(prose)
+
+
+def placed(b: dict) -> int | None:
+    """What the markup alone says of a block: content 1, beside the article 0, nothing None."""
+    if b["beside"]:
+        return 0
+    return int(b["article"]) if b["has_article"] else None
+
+
+def score(b: dict, weights: dict[str, float] = LOOKS) -> float:
     """Log-odds that a block is content, within plus and minus ``MOST``."""
-    s = WEIGHT["base"] + min(4.0, WEIGHT["log_words"] * math.log1p(b["text"].count(" ") + 1))
-    s += WEIGHT["sentence"] * (b["text"][-1] in ".!?…:;\"'»”)") + WEIGHT["links"] * b["linked"]
-    s += WEIGHT["prose_tag"] * (b["tag"] in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"))
+    s = weights["base"] + sum(weights[k] * x for k, x in zip(("log_words", "sentence", "links", "prose_tag"), looks(b)))
+    s = max(-MOST_LOOKS, min(MOST_LOOKS, s))
     if b["has_article"]:
-        s += WEIGHT["in_article" if b["article"] else "out_of_article"]
-    s += WEIGHT["beside"] * b["beside"]
+        s += PLACE["in_article" if b["article"] else "out_of_article"]
+    s += PLACE["beside"] * b["beside"]
     return max(-MOST, min(MOST, s))
 
 
+def fitted(x: np.ndarray, y: np.ndarray, most: float = 100.0, doubt: float = 10.0) -> dict[str, float]:
+    """Weights of a logistic regression in which both labels count alike, drawn towards ``LOOKS``.
+
+    All blocks together count for ``most`` of them: pages of one make are alike, and their looks need not be those of others.
+    """
+    if not 0 < y.mean() < 1:
+        return dict(LOOKS)
+    x = np.column_stack([np.ones(len(x)), x])
+    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * min(1.0, most / len(y))
+    start = np.array(list(LOOKS.values()))
+    beta = start.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (each * (y - p)) - doubt * (beta - start)
+        beta += np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + doubt * np.eye(len(beta)), gradient)
+    return dict(zip(LOOKS, map(float, beta)))
+
+
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(*looks(b), y) for page in batch["html"] for b in blocks(page or "") if (y := placed(b)) is not None]
+        yield pd.DataFrame(rows, columns=["x1", "x2", "x3", "x4", "y"])
+
+
+def fit(pages: DataFrame, html: str = "html", max_pages: int = MAX_PAGES, max_blocks: int = MAX_BLOCKS) -> dict[str, float]:
+    """Weights of a block's looks, from the blocks that the markup places, in at most so many pages and blocks."""
+    hashed = pages.select(F.xxhash64(html).alias("h"), F.col(html).alias("html"))
+    highest = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).orderBy("h").limit(max_pages).agg(F.max("h").alias("h")).first()["h"]
+    if highest is None:
+        return dict(LOOKS)
+    sample = hashed.where(F.col("h") <= highest).select("html").mapInPandas(_measured, "x1 double, x2 double, x3 double, x4 double, y int")
+    names = ["x1", "x2", "x3", "x4", "y"]
+    rows = sample.orderBy(F.xxhash64(*names), *names).limit(max_blocks).toPandas()  # numbers only; repeated pages are bounded here
+    return fitted(rows[names[:4]].to_numpy(float), rows["y"].to_numpy(float)) if len(rows) else dict(LOOKS)
+
+
 def min_cut(own: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes are on the source side of a minimum cut.
 
@@ -213,7 +287,7 @@ def min_cut(own: list[float], edges: list[tuple[int, int, float]]) -> list[bool]
     return side
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: dict[str, float] = LOOKS) -> str:
     """The content blocks of a page, joined by single spaces.
 
     Neighbours of one parent that lean to the same side are one node, so a long page has few.
@@ -222,7 +296,7 @@ def main_text(page: str | None) -> str:
     nodes: list[tuple[int, float]] = []
     of_block = []
     for b in found:
-        s = score(b)
+        s = score(b, weights)
         if nodes and nodes[-1][0] == b["parent"] and (nodes[-1][1] > 0) == (s > 0):
             nodes[-1] = (b["parent"], nodes[-1][1] + s)
         else:
@@ -239,17 +313,18 @@ def main_text(page: str | None) -> str:
     return " ".join(b["text"] for b, i in zip(found, of_block) if kept[i])
 
 
-@F.pandas_udf(T.StringType())
-def _main_text(pages: pd.Series) -> pd.Series:
-    return pd.Series([main_text(p) for p in pages], dtype=object)
+def extract(html: Column, weights: dict[str, float] = LOOKS) -> Column:
+    """Main text of an html column."""
 
+    @F.pandas_udf(T.StringType())
+    def texts(pages: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, weights) for p in pages], dtype=object)
 
-def extract(html: Column) -> Column:
-    """Main text of an html column."""
-    return _main_text(html)
+    return texts(html)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op5_page_text``: the main text of all pages."""
-    texts = table(spark, sf_dir, "pages").select("page_id", "url", extract(F.col("html")).alias("text"))
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", extract(F.col("html"), fit(pages)).alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
