@@ -147,7 +147,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     bench = spark.createDataFrame([(1, "the same text twice"), (2, None)], BENCH)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels)
+    model, toxic = quality.fit(docs, labels), toxicity.fit(docs, labels)
     for frame in (docs, docs.limit(0)):
         n = frame.count()
         assert personal_data.report(frame).count() == n
@@ -156,9 +156,59 @@ def test_odd_rows(spark):
         assert simhash.classes(frame).count() == n
         assert sharding.place(frame).count() == n
         assert quality.scored(frame, model).count() == n
+        assert toxicity.scored(frame, toxic, keep=("doc_id", "score", "words")).columns == ["doc_id", "words", "score", "predicted"]
+        assert toxicity.scored(frame, toxic).count() == n
+        assert media.store(frame, media="words").select(media.read(F.col("words")).alias("r")).count() == n
     assert decontamination.report(docs, bench).where("contaminated").select("doc_id", "n_hit").distinct().collect()[0].asDict() == {"doc_id": 3, "n_hit": 4}
 
 
+#: Names that the operators might use themselves.
+CLASHES = ["score", "predicted", "s_digit", "_words", "_id", "_hash", "_key", "_doc", "_score", "_text", "size", "taken", "shard", "_g", "_row", "spans", "clean_words", "media", "_no", "fp", "node"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, f"document number {'abcdefgh'[i]} is one of eight that differ {'xyzuvwqk'[i] * 3} from all", "a", *[f"{c}{i}" for c in CLASHES]) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, rows[3][1])], BENCH)
+    model = quality.RuleModel(1.0, ())
+    same = lambda got, skip=(): {r.doc_id: tuple(r[c] for c in docs.columns if c not in skip) for r in got.collect()}
+    want = lambda skip=(): {r[0]: tuple(v for c, v in zip(docs.columns, r) if c not in skip) for r in rows}
+    assert same(quality.accepted(docs, model)) == want()
+    assert same(quality.scored(docs, model), ("score", "predicted")) == want(("score", "predicted"))
+    assert same(simhash.keep_one(docs)) == want()
+    assert same(decontamination.remove(docs, bench)) == {i: r for i, r in want().items() if i != 3}
+    assert same(decontamination.cut_spans(docs, bench), ("clean_words",)) == want(("clean_words",))
+    assert same(mixing.apply_mix(docs, weights=(1,), max_epochs=1)) == want()
+    assert same(sharding.with_shards(docs), ("shard",)) == want(("shard",))
+    assert same(media.store(docs), ("media",)) == want(("media",))
+
+
+def test_shards_of_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a-1", "x"), ("a-2", "x"), (None, "x"), ("a-1", "y")], "doc_id string, text string")
+    got = {(r.doc_id, r.text): r for r in sharding.with_shards(docs).collect()}
+    assert got["a-1", "x"].shard == got["a-1", "y"].shard and all(0 <= r.shard < 24 for r in got.values())
+    assert sorted(r.shard for r in sharding.place(docs).collect()) == sorted(r.shard for r in got.values())
+
+
+def test_mix_applied_takes_what_the_mix_says(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i) if i % 7 else None, " ".join(f"w{k}" for k in rng.integers(0, 50, rng.integers(0, 40))), "abc"[i % 3] if i % 5 else None, 0) for i in range(200)] + [(3, "one two three", "a", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = mixing.mix(docs).groupBy().agg(F.sum("taken")).first()[0]
+    out = mixing.apply_mix(docs).collect()
+    assert sum(len(r.text.split()) for r in out) == taken and all(r.n_chars == len(r.text) for r in out)
+    assert sorted(map(str, mixing.apply_mix(docs).collect())) == sorted(map(str, out))
+
+
+def test_decontamination_without_broadcast(spark, monkeypatch):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = decontamination.report(docs, bench).toPandas().sort_values("doc_id", ignore_index=True)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_ROWS", 0)
+    pd.testing.assert_frame_equal(decontamination.report(docs, bench).toPandas().sort_values("doc_id", ignore_index=True), want)
+    assert sorted(r.doc_id for r in decontamination.remove(docs, bench).collect()) == sorted(want.doc_id[~want.contaminated])
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (1, "not a url", ""), (2, "http://a.example.com/", "<p>" + "the " * 20000)], "page_id long, url string, html string")
     docs = spark.createDataFrame([("the and of", "en"), ("der die das", "de"), (None, "de"), ("x", None)], "text string, lang string")
@@ -230,3 +280,198 @@ def test_toxicity_restores_every_disguise(spark):
     assert "idiot" in toxicity.runs("1 d 1 0 t", costs)
     assert any("idiot" in w for w in toxicity.runs(" ".join("m" * 62 + "idiot" + "m" * 30), costs))
     assert toxicity.restore("*" * 5000, costs) == []
+    long = "-".join(["id1ot"] * 9)  # 53 characters
+    assert sum(w == "idiot" for w in re.split("[^a-z]", " ".join(toxicity.restore(long, costs)).replace("idiot", " idiot "))) >= 9
+    assert toxicity.restore("1d10t" * 9, costs)[0] == "idiot" * 9
+
+
+def test_toxicity_decoding_equals_brute_force():
+    rng = np.random.default_rng(5)
+    costs = rng.uniform(1, 9, (28, 28, 28)).tolist()
+
+    def cost(readings):
+        x = y = 0
+        total = 0.0
+        for letters, price in readings:
+            total += price
+            for ch in letters:
+                z = toxicity._class(ch)
+                total += costs[x][y][z]
+                x, y = y, z
+        return total + costs[x][y][0]
+
+    for token in ("1d10t", "a$$", "b00k", "s-h-1-t", "!!on", "@@ll"):
+        for spaced in (False, True):
+            ways = [()]
+            for stretch in toxicity.lattice(token, spaced):
+                ways = [w + (r,) for w in ways for r in stretch]
+            best = min(ways, key=cost)
+            got = toxicity.decode(token, costs, spaced)
+            assert cost(best) <= min(cost(w) for w in ways if "".join(r[0] for r in w) == got) + 1e-9
+
+
+def test_personal_data_discovers_by_context(spark):
+    def bootstrap(rows):
+        import regex
+
+        token = regex.compile(personal_data.TOKEN)
+        edges, where = set(), []
+        for i, text in rows:
+            base = [x.split(":") for x in plain_spans(text).split(",") if x]
+            found = [(int(a), int(b), k) for k, a, b in base]
+            for m in token.finditer(text):
+                if not any(a < m.end() and m.start() < b for a, b, _ in found[: len(base)]):
+                    kind = "plain" if len(m[0]) < 6 else "secret" if regex.fullmatch(personal_data.SECRET.strip("^$"), m[0]) else None
+                    found.append((m.start(), m.end(), kind))
+                    where.append((i, m.start(), m.end(), m[0], kind))
+            for a, b, kind in found:
+                for p in personal_data.BEFORE:
+                    if hit := regex.search(p, text[max(0, a - 48) : a].lower()):
+                        edges.add((text[a:b], kind, hit[1]))
+        known = {}
+        while True:
+            score = {}
+            for instance, kind, pattern in edges:
+                k, sure = (kind, 1.0) if kind else known.get(instance, (None, 0))
+                if k:
+                    score.setdefault(pattern, {}).setdefault(k, []).append(sure)
+            sure = {}
+            for pattern, by in score.items():
+                best = max((k for k in by if k != "plain"), key=lambda k: (sum(by[k]), k), default=None)
+                if best and sum(by[best]) >= 5 - 1e-9:
+                    p = sum(by[best]) / (sum(map(sum, by.values())) + 1)
+                    if p >= 0.5:
+                        sure[pattern] = best, p
+            fresh = {}
+            for instance, kind, pattern in edges:
+                if kind is None and instance not in known and pattern in sure:
+                    k, p = sure[pattern]
+                    fresh.setdefault(instance, {}).setdefault(k, []).append(1 - min(p, 1 - 1e-6))
+            new = {}
+            for instance, by in fresh.items():
+                conf, k = max((1 - float(np.prod(v)), k) for k, v in by.items())
+                if conf >= 0.8:
+                    new[instance] = k, conf
+            if not new:
+                break
+            known |= new
+        out = {i: [(int(a), "email ip card phone".split().index(k), int(b), k) for k, a, b in (x.split(":") for x in plain_spans(t).split(",") if x)] for i, t in rows}
+        for i, a, b, m, kind in where:
+            k = known[m][0] if m in known else kind if kind == "secret" else None
+            if k:
+                out[i].append((a, "email ip card phone secret".split().index(k), b, k))
+        return {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(v)) for i, v in out.items()}
+
+    rows = [(i, f"some words here mailbox: user{i}@site.example.com and more") for i in range(40)]
+    rows += [(100 + i, f"other words go mailbox: AB-{12345 + i} and so on") for i in range(60)]
+    rows += [(300 + i, f"as asked mailbox: AB-{12345 + i} or account holder AB-{12345 + i} yes") for i in range(20)]
+    rows += [(400 + i, f"only account holder ZX-{99000 + i} knows, called at {5550000 + i} 44 12") for i in range(30)]
+    rows += [(500 + i, f"version {i}.0. and page {2000000 + i} of it") for i in range(30)]
+    rows += [(600, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" set'), (601, None), (602, "")]
+    got = personal_data.report(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert got.spans.to_dict() == bootstrap([(i, t or "") for i, t in rows])
+    assert got.loc[100:159].n_found.sum() == 60 and got.loc[400:429].n_found.sum() == 30 and got.loc[500:529].n_found.sum() == 0 and got.n_found[600] == 1
+
+
+def test_personal_data_counts(spark, texts):
+    got = personal_data.query(spark, SF).toPandas().set_index("doc_id")
+    for i, text in texts.items():
+        base = plain_spans(text or "").split(",")
+        assert [sum(x.startswith(k) for x in base) for k in ("email", "ip", "card", "phone")] == [got[f"n_{k}"][i] for k in ("email", "ip", "card", "phone")]
+        assert set(filter(None, base)) <= set(got.spans[i].split(","))
+
+
+def test_quality_score_is_that_of_its_rules(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert model.weighted
+    measured = quality.statistics(docs.select("doc_id", "text"))[0].drop("text").toPandas().set_index("doc_id")
+    got = quality.scored(docs, model).toPandas().set_index("doc_id").score
+    odds = sum((w * np.logical_and.reduce([(measured[n] > lo) & (measured[n] <= hi) for n, lo, hi in rule.bounds]) for rule, w in model.weighted), model.intercept)
+    assert np.allclose(got.loc[measured.index], 1 / (1 + np.exp(-odds)))
+
+
+def test_quality_lasso_is_optimal_and_paths_are_conjunctions():
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (x[:, 0] + x[:, 3] - x[:, 5] + rng.normal(0, 0.7, 400) > 0.5).astype(float)
+    intercept, w = quality.lasso(x, y, 0.02, tolerance=1e-9)
+    scale = x.std(axis=0)
+    gradient = ((x - x.mean(axis=0)) / scale).T @ (1 / (1 + np.exp(-(x @ w + intercept))) - y) / 400
+    assert (w == 0).any() and (np.abs(gradient[w == 0]) <= 0.02 + 1e-5).all()
+    assert np.allclose(gradient[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-5)
+    tree = "  If (feature 0 <= 1.5)\n   If (feature 1 > 2.0)\n    Predict: 1.0\n   Else (feature 1 <= 2.0)\n    Predict: 0.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0"
+    inf = float("inf")
+    assert {r.bounds for r in quality.paths(tree, ["a", "b"])} == {(("a", -inf, 1.5),), (("a", -inf, 1.5), ("b", 2.0, inf)), (("a", -inf, 1.5), ("b", -inf, 2.0)), (("a", 1.5, inf),)}
+
+
+def test_language_fusion_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    langs = ["de", "en", "fr"]
+    rows = []
+    for i in range(60):
+        host = ["a.x.co.uk", "b.x.co.uk", "c.y.co.uk", "www.z.de", "z.de", ""][i % 6]
+        rows.append((i, f"u{i}", host, {"a.x.co.uk": "x.co.uk", "b.x.co.uk": "x.co.uk", "c.y.co.uk": "y.co.uk", "": ""}.get(host, "z.de"), host.rpartition(".")[2], ["en", "de", ""][i % 3], [float(v) for v in rng.normal(0, 3, 3)]))
+    evidence = spark.createDataFrame(rows, "page_id long, url string, host string, domain string, suffix string, declared string, text_ll array<double>")
+    hosts = spark.createDataFrame([(r[2], r[3]) for r in rows], "h string, d string").distinct().where("h <> ''")
+    assert all(r.d == r.got for r in hosts.select("d", language.registered_domain(F.col("h")).alias("got")).collect())
+    p = np.array([np.exp(np.array(r[6]) - max(r[6])) / np.exp(np.array(r[6]) - max(r[6])).sum() for r in rows])
+    total = p.sum(axis=0)
+    base = (total + 1) / (total.sum() + 3)
+    want = {}
+    for i, r in enumerate(rows):
+        mine = lambda k: p[[j for j, q in enumerate(rows) if q[k] == r[k]]].sum(axis=0)  # noqa: E731, B023
+        left = lambda k: np.maximum(mine(k) - p[i], 0)  # noqa: E731, B023
+        domain = (left(3) + 8 * base) / (max(mine(3).sum() - 1, 0) + 8)
+        prior = (left(2) + 4 * domain) / (max(mine(2).sum() - 1, 0) + 4)
+        given = [(left(k) + 2 * mine(k).sum() / max(total.sum(), 1)) / (total + 2) for k in (5, 4)]
+        score = np.array(r[6]) + np.log(prior) + np.log(given[0]) + np.log(given[1])
+        q = np.exp(score - score.max())
+        want[r[0]] = langs[int(score.argmax())], q.max() / q.sum()
+    for r in language.fuse(evidence, langs).collect():
+        assert r.lang == want[r.page_id][0] and abs(r.confidence - want[r.page_id][1]) < 1e-9
+
+
+def test_dense_simhash_shards_are_split(spark):
+    rng = np.random.default_rng(1)
+    base, values = int(rng.integers(0, 2**62)), set()
+    while len(values) < 1500:
+        v = base
+        for b in rng.choice(64, rng.integers(0, 6), replace=False):
+            v ^= 1 << int(b)
+        values.add(v)
+    near = {v: {v ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)} | {v ^ (1 << a) for a in range(64)} for v in values}
+    parent = {v: v for v in values}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for v in values:
+        for w in near[v] & values:
+            parent[max(top(v), top(w))] = min(top(v), top(w))
+    prints = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long")
+    for tree in (4096, 60):
+        roots = {r.node: r.root for r in simhash.components(simhash.links(prints, 2, tree)).collect()}
+        assert len({(top(v), roots.get(simhash._signed(v), simhash._signed(v))) for v in values}) == len({top(v) for v in values}) == len({roots.get(simhash._signed(v), simhash._signed(v)) for v in values})
+
+
+def test_hot_copy_shards_are_split(spark):
+    rng = np.random.default_rng(8)
+    keys = [int(k) for k in rng.integers(0, 2**60, 16)]
+    rows = [(i, int(rng.integers(0, 2**60)), [k if rng.random() < 0.9 else int(rng.integers(0, 2**60)) for k in keys]) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, keys array<long>")
+    members = [r.members for r in simhash.copy_shards(nodes, 50).collect()]
+    assert max(map(len, members)) < 120  # parts are dealt by a hash, and share one member
+    reached, todo = set(), [0]
+    by_node = {}
+    for m in members:
+        for _, n in m:
+            by_node.setdefault(n, []).append(m)
+    while todo:
+        n = todo.pop()
+        if n not in reached:
+            reached.add(n)
+            todo += [x for m in by_node.get(n, []) for _, x in m]
+    assert len(reached) == 300
