@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import aggregates as A
 from ..functions import scalars as S
+from ..functions import structured as D
 from ..operators import log as L
 from ..operators import metrics as M
 from ..operators import stages as T
@@ -62,7 +64,7 @@ def select_arith(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("payloadType")
-    return events(spark, sf_dir).select("token", F.upper(kind).alias("u"), F.lower(kind).alias("w"), S.substring(kind, 1, 4).alias("p"), F.left(kind, F.lit(2)).alias("l"), F.right(kind, F.lit(3)).alias("r"), F.length("payloadData").cast("long").alias("n"))
+    return events(spark, sf_dir).select("token", F.upper(kind).alias("u"), F.lower(kind).alias("w"), S.substring(kind, 1, 4).alias("p"), F.left(kind, F.lit(2)).alias("l"), F.right(kind, F.lit(3)).alias("r"), S.length(F.col("payloadData")).alias("n"))
 
 
 def concat_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +81,12 @@ def date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("payloadType").agg(F.round(F.avg(S.json_number(F.col("payloadData"), "$.k")), 8).alias("k"))
+    return events(spark, sf_dir).groupBy("payloadType").agg(F.round(F.avg(D.json_number(F.col("payloadData"), "$.k")), 8).alias("k"))
 
 
 def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).where(F.try_element_at("metaData", F.lit("value")) > 50).select("token", F.try_element_at("metaData", F.lit("value")).alias("value"))
+    log = events(spark, sf_dir)
+    return log.where(D.metadata(log, "value") > 50).select("token", D.metadata(log, "value").alias("value"))
 
 
 def group_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +106,11 @@ def global_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.non_empty(events(spark, sf_dir).agg(F.round(F.avg("aggregateSequenceNumber"), 8).alias("avg"), F.count(F.lit(1)).alias("_rows")))
+    return T.non_empty(events(spark, sf_dir).agg(A.average(F.col("aggregateSequenceNumber")).alias("avg"), F.count(F.lit(1)).alias("_rows")))
 
 
 def running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.running(events(spark, sf_dir), F.col("aggregateSequenceNumber")).select("token", F.round(F.col("_sum") / F.col("_n"), 8).alias("a"))
+    return T.running(events(spark, sf_dir), F.col("aggregateSequenceNumber")).select("token", A.rounded_mean(F.col("_sum"), F.col("_n")).alias("a"))
 
 
 def nested_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +119,15 @@ def nested_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def limit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.newest(events(spark, sf_dir), 10).select("token", "payloadType")
+    return T.limited(events(spark, sf_dir), 10).select("token", "payloadType")
 
 
 def sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.newest(events(spark, sf_dir), 10, F.col("payloadType")).select("token", "payloadType")
+    return T.answer(events(spark, sf_dir), sort=["payloadType"], limit=10).select("token", "payloadType")
 
 
 def agg_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.aggregate_events(events(spark, sf_dir), "42", 3, 20).select("token", "aggregateSequenceNumber")
+    return L.aggregate_events(events(spark, sf_dir, "42"), "42", 3, 20).select("token", "aggregateSequenceNumber")
 
 
 def agg_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +166,13 @@ def rate_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.latencies(events(spark, sf_dir).withColumn("value", F.try_element_at("metaData", F.lit("value"))), "value")
+    return M.latencies(events(spark, sf_dir).withColumnRenamed("metaData.value", "value"), "value")
 
 
 def composite_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.try_element_at("metaData", F.lit("value"))
-    parts = events(spark, sf_dir).groupBy("aggregateIdentifier", "payloadType").agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    log = events(spark, sf_dir)
+    value = D.metadata(log, "value")
+    parts = log.groupBy("aggregateIdentifier", "payloadType").agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
     return M.composite(parts, "payloadType")
 
 
