@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op6_decontamination": decontamination.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op9_sharding": sharding.ORACLE,
 }

@@ -84,3 +84,23 @@ def with_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id") -> Da
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op9_sharding``: all documents into 24 shards."""
     return place(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+codes AS (SELECT list(list_reduce(range(8), lambda c, _: xor(c >> 1, 3988292384 * (c & 1)), CAST(i AS BIGINT)) ORDER BY i) AS codes FROM range(256) u(i)),
+jump(r, k, j) AS (
+  SELECT r, CASE WHEN doc_id IS NULL THEN 18446744073709551615 WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(doc_id AS HUGEINT) END, CAST(0 AS BIGINT) FROM doc
+  UNION ALL
+  SELECT r, n, CAST(floor(CAST(j + 1 AS DOUBLE) * (CAST(2147483648 AS DOUBLE) / CAST(n // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT r, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM jump WHERE j < 25)
+), shards AS (SELECT r, CAST(max(j) FILTER (j < 24) AS INT) AS shard, CAST(max(j) FILTER (j < 25) AS INT) AS grown_shard FROM jump GROUP BY r),
+sums AS (
+  SELECT r, doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS n,
+         xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(codes[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS crc
+  FROM doc, codes
+), placed AS (SELECT *, md5(concat_ws(':', CAST(doc_id AS VARCHAR), CAST(crc AS VARCHAR), CAST(n AS VARCHAR))) AS digest FROM sums JOIN shards USING (r))
+SELECT doc_id, n + 8 AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY digest, crc, n) - 1 AS slot, grown_shard
+FROM placed
+"""
