@@ -18,21 +18,22 @@ def sliding_counts(log: DataFrame, bucket_ms: int = 5_000, window_ms: int = 60_0
 def latencies(log: DataFrame, value: str, points: Sequence[float] = (0.5, 0.9, 0.95, 0.99), bins: int = 4096) -> DataFrame:
     """Exact interpolated percentiles of a value by type.
 
-    Counts in ranges of the value (at most ``bins`` rows a type) say in which ranges the wanted ranks are; only the distinct
-    values of those ranges are counted and put in order. Nothing but counts is shuffled, however many rows there are.
+    Counts in ranges of the value (at most ``bins`` rows a type, combined before the shuffle) say in which ranges the wanted
+    ranks are; only the values of those few ranges are shuffled, counted and put in order.
     """
     rows = log.select("payloadType", F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     ends = rows.groupBy("payloadType").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
     place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-    counted = rows.groupBy("payloadType", "v").agg(F.count(F.lit(1)).alias("c")).join(ends, "payloadType").withColumn("bin", place)
-    by_bin = counted.groupBy("payloadType", "bin").agg(F.sum("c").alias("c"))
+    placed = rows.join(ends, "payloadType").select("payloadType", "v", place.alias("bin"))
+    by_bin = placed.groupBy("payloadType", "bin").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("payloadType").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_bin.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumnRenamed("c", "inBin")
     ranks = ends.select("payloadType", F.posexplode(F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in points])).alias("point", "rank"))
     wanted = ranks.select("payloadType", "point", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("at"))
     hit = wanted.join(offsets, "payloadType").where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("inBin"))).select("payloadType", "point", "rank", "at", "bin", "before")
     inside = Window.partitionBy("payloadType", "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    few = counted.join(hit.select("payloadType", "bin").distinct(), ["payloadType", "bin"], "left_semi").withColumn("upTo", F.sum("c").over(inside))
+    near = placed.join(hit.select("payloadType", "bin").distinct(), ["payloadType", "bin"], "left_semi")
+    few = near.groupBy("payloadType", "bin", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("upTo", F.sum("c").over(inside))
     met = hit.join(few, ["payloadType", "bin"]).where((F.col("at") - F.col("before") < F.col("upTo")) & (F.col("at") - F.col("before") >= F.col("upTo") - F.col("c")))
     share = F.max(F.col("rank") - F.floor("rank"))
     values = met.groupBy("payloadType", "point").agg((F.min("v") + (F.max("v") - F.min("v")) * share).alias("x"))

@@ -206,7 +206,7 @@ def retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that a filter lets through: those that came or changed, and those that are gone."""
     log = events(spark, sf_dir)
     counted = lambda rows: rows.groupBy("aggregateIdentifier").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 4")
-    return T.changes(counted(log.where("token < 400")), counted(log.where("token < 600")), ["aggregateIdentifier"])
+    return T.changes(counted(log.where("token < 400")), counted(log.where("token < 600")), ["aggregateIdentifier"]).fillna(-1, ["n"])
 
 
 def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:

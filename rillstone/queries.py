@@ -118,7 +118,7 @@ _ON_LOG |= {
     "latest_rows_by_id": """SELECT "payloadType", "aggregateIdentifier", max(token) AS token, arg_max("payloadData", token) AS "payloadData" FROM log GROUP BY 1, 2""",
     "retracted": """, b AS (SELECT "aggregateIdentifier" AS i, count(*) AS n FROM log WHERE token < 400 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4),
         a AS (SELECT "aggregateIdentifier" AS i, count(*) AS n FROM log WHERE token < 600 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4)
-        SELECT i AS "aggregateIdentifier", n, false AS "_deleted" FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT i, NULL, true FROM b WHERE i NOT IN (SELECT i FROM a)""",
+        SELECT i AS "aggregateIdentifier", n, false AS "_deleted" FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT i, -1, true FROM b WHERE i NOT IN (SELECT i FROM a)""",
     "blacklist": """, placed AS (SELECT token, "payloadType", count(*) FILTER ("payloadType" = 'click') OVER (ORDER BY token) AS island FROM log),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY token) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS r FROM placed)
         SELECT token, "payloadType" FROM ranked WHERE "payloadType" = 'click' OR r % 5 = 0""",
