@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 from ..functions import scalars as S
 from ..functions import structured as D
+from ..functions.registry import Registry
 from ..operators import log as L
 from ..operators import metrics as M
 from ..operators import processors as P
 from ..operators import routing as R
 from ..operators import stages as T
-from ..sources.logs import events, order_lines, order_snapshots
+from ..sources.logs import events, order_snapshots
+from ..streaming import live
 from .event_queries import NOON_MS, NOW
 
 
@@ -21,6 +23,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of files."""
+    return spark.readStream.schema(_read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 # Filters and projections
 
 
@@ -214,6 +221,38 @@ def blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.delivered(events(spark, sf_dir).select("token", "payloadType"), F.col("payloadType") != "click", 5)
 
 
+def live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grouping of a live query, over the log as a stream."""
+    stream = _stream(spark, sf_dir).where("event_id >= 100")
+    return live.answer_now(live.live_groups(stream.withColumnRenamed("event_type", "payloadType"), ["payloadType"], [F.count(F.lit(1)).alias("n"), F.max("event_id").alias("lastToken")]))
+
+
+def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in windows of event time, with a bound on lateness."""
+    stream = _stream(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    found = live.answer_now(live.on_time(stream, "at", "1 hour", "1 day", ["event_type"]))
+    return found.select(F.datediff(F.col("window.start").cast("timestamp_ntz"), F.lit("2024-01-01").cast("date")).cast("long").alias("day"), F.col("event_type").alias("payloadType"), "n")
+
+
+def initial_and_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subscription's initial result, and the updates that are its own."""
+    log = events(spark, sf_dir).select("token", "payloadType")
+    updates = log.withColumn("subscription", F.when(F.col("token") % 3 == 0, F.lit("a")).otherwise(F.lit("b")))
+    return live.initial_and_updates(log, updates, "a", 400)
+
+
+def extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scalar, an aggregate, a stage and reading hooks that were registered by name."""
+    registry = Registry()
+    registry.scalar("initial")(lambda c: F.upper(F.left(c, F.lit(1))))
+    registry.aggregate("spread")(lambda c: F.max(c) - F.min(c))
+    registry.stage("twice")(lambda rows: rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))))
+    registry.hook("read", 2)(lambda rows: rows.withColumn("payloadType", F.concat("payloadType", F.lit("!"))))
+    registry.hook("read", 1)(lambda rows: rows.where("token % 2 = 0"))
+    rows = registry.apply(registry.passed("read", events(spark, sf_dir)), "twice")
+    return rows.groupBy(registry.call("initial", F.col("payloadType")).alias("k"), "payloadType").agg(registry.call("spread", F.col("token")).alias("spread"), F.count(F.lit(1)).alias("n"))
+
+
 # Metrics
 
 
@@ -300,6 +339,6 @@ ALL = (
     filter_eq_types, filter_in_items, filter_list_contains, match_whole, last_latest, divide_decimals, text_length, date_letters, json_values, xml_values, map_text,
     select_limit, group_limit, group_shown, limit_default, limit_count, count_values, mean_half_down, running_filter, group_expression, null_groups,
     log_scan, empty_query, event_stream, agg_newest, snapshot_scan, snapshot_list, latest_event, highest_known, transaction_list, replica_append,
-    latest_rows_by_id, retracted, blacklist, rate_windows, timer_snapshot, request_metrics, subscription_metrics,
+    latest_rows_by_id, retracted, blacklist, live_counts, live_windows, initial_and_updates, extended, rate_windows, timer_snapshot, request_metrics, subscription_metrics,
     tag_routing, handler_candidates, hash_routing, scatter_gather, response_merge, processor_warnings, segment_choice, processor_roll_up,
 )

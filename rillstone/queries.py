@@ -122,6 +122,10 @@ _ON_LOG |= {
     "blacklist": """, placed AS (SELECT token, "payloadType", count(*) FILTER ("payloadType" = 'click') OVER (ORDER BY token) AS island FROM log),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY token) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS r FROM placed)
         SELECT token, "payloadType" FROM ranked WHERE "payloadType" = 'click' OR r % 5 = 0""",
+    "live_counts": 'SELECT "payloadType", count(*) AS n, max(token) AS "lastToken" FROM log WHERE token >= 100 GROUP BY 1',
+    "live_windows": """SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, "payloadType", count(*) AS n FROM log GROUP BY ALL""",
+    "initial_and_updates": 'SELECT token, "payloadType", token > 400 AS "isUpdate" FROM log WHERE token <= 400 OR token % 3 = 0',
+    "extended": """SELECT upper("payloadType"[1]) AS k, "payloadType" || '!' AS "payloadType", max(token) - min(token) AS spread, count(*) * 2 AS n FROM log WHERE token % 2 = 0 GROUP BY ALL""",
     "rate_windows": """SELECT "payloadType", count(*) FILTER (s >= 1705320000 - 3600 AND "timestamp" <= 1705320000000) * 86400 // 3600 AS rate3600,
         count(*) FILTER (s >= 1705320000 - 21600 AND "timestamp" <= 1705320000000) * 86400 // 21600 AS rate21600,
         count(*) FILTER (s >= 1705320000 - 86400 AND "timestamp" <= 1705320000000) * 86400 // 40000 AS rate86400 FROM (SELECT *, "timestamp" // 1000 AS s FROM log) GROUP BY 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,16 @@ def on_time(stream: DataFrame, clock: str, lateness: str, window: str, keys: Seq
     return stream.withWatermark(clock, lateness).groupBy(F.window(clock, window), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def answer_now(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The answer of a streaming query over all that is there now; meant for few rows, since the driver holds them."""
+    spark, name = stream.sparkSession, f"live_{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    query = (writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
 def keep_table(stream: DataFrame, path: str, ids: Sequence[str], checkpoint: str, order: str = "token", interval: str | None = None) -> StreamingQuery:
     """Keep a client's table of a stream of updates: a batch brings each id once, with its last row.
 
