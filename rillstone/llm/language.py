@@ -8,10 +8,10 @@ language and an address suffix can be trusted, and give each host a prior that i
 domain, which is smoothed by that of all pages. A page is taken out of its own prior. The sum of the four is the answer.
 
 Defined cases: null html is empty, and a page without letters is decided by the other evidence; a null or unreadable url
-has the empty host and suffix; no declared language is a value of its own; repeated pages are separate rows; texts of any length are read whole;
-more than ``MAX_LANGUAGES`` stated languages are an error; without
-labelled documents there are no languages, and ``lang`` and ``confidence`` are null; ties go to the first language by
-code point; an empty table gives an empty result; other columns are not looked at.
+has the empty host and suffix; no declared language is a value of its own; repeated pages are separate rows; texts of any
+length are read whole; without labelled documents there are no languages, and ``lang`` and ``confidence`` are null; more
+than ``MAX_LANGUAGES`` stated languages are an error; ties go to the first language by code point; an empty table gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
