@@ -16,14 +16,18 @@ whatever their names, ``classes`` does not look at them.
 
 ``keep_one``, the pipeline's stage, has its own rule: texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 are near copies. At that similarity a fingerprint moves by ten bits and often by fifteen, too far for blocks of 64
-bits. So its shards are bands of min-hashes, fingerprints only choose whom a shard's member is compared with, and every
-link is checked on the sets themselves. Texts with equal sets are one node; all wordless texts are one. A shard of more
-than ``SHARD`` members is split by a second band, and one that is still larger is dealt out in parts that share a member.
+bits, and a BK-tree searched that far visits every node. So its shards are bands of min-hashes, fingerprints only choose
+the order in which a shard's members are compared, and every link is checked on the sets themselves. Texts with equal sets
+are one node; all wordless texts are one. At first a member is compared with the ``NEAREST`` of its shard (one of more than
+``SHARD`` members is split by a second band, and one that is still larger is dealt out in parts that share a member). Then
+shards whose members are not one component yet are taken up again, each member with ``WIDER`` times as many, large shards
+in all pairs of their blocks, until every pair of a shard is in one component, or checked, or too unlike to be a link by
+the sizes of its sets or their min-hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -40,8 +44,9 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Most fingerprints in a shard's tree; larger shards are split.
 TREE = 4096
 #: The stage: words in a shingle, least similarity, bands and min-hashes in a band (a pair at 0.8 shares no band once in
-#: 4,600 times), and how many nearest members of its shard a member is compared with.
-COPY_SHINGLE, SIMILAR, BANDS, ROWS, NEAREST = 5, 0.8, 16, 4, 4
+#: 4,600 times), how many nearest members of its shard a member is compared with at first, how many times as many in each
+#: round after, and the least min-hashes in common (a pair at 0.8 has fewer less than once in 100,000 times).
+COPY_SHINGLE, SIMILAR, BANDS, ROWS, NEAREST, WIDER, ALIKE = 5, 0.8, 16, 4, 4, 8, 34
 #: Most members of a shard that one task compares, and rows of keys that are broadcast.
 SHARD, MAX_BROADCAST_ROWS = 16_384, 1_000_000
 
@@ -200,11 +205,16 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of min-hashes."""
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of all hashes under each of the multipliers."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 4096):
         least = np.minimum(least, (_MULTIPLIERS[:, None] * hashes[None, at : at + 4096]).min(axis=1))
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes."""
     rows, keys = least.reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
     for r in range(ROWS):
         keys = (keys ^ rows[:, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +222,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
-@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def short_hashes(least: np.ndarray) -> bytes:
+    """A byte of each min-hash: two that differ have the same once in 256 times."""
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("short", T.BinaryType())]))
 def _sketches(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
@@ -222,8 +237,9 @@ def _sketches(texts: pd.Series) -> pd.DataFrame:
             ones += np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint32)
         fp = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
         node = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
-        out.append((_signed(node), _signed(fp), band_keys(hashes).view(np.int64) if len(hashes) else np.zeros(0, np.int64)))
-    return pd.DataFrame(out, columns=["node", "fp", "keys"])
+        least = min_hashes(hashes)
+        out.append((_signed(node), _signed(fp), band_keys(least).view(np.int64) if len(hashes) else np.zeros(0, np.int64), len(hashes), short_hashes(least)))
+    return pd.DataFrame(out, columns=["node", "fp", "keys", "size", "short"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -231,34 +247,73 @@ def _sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).view(np.int64) for t in texts])
 
 
-def nearest(fps: np.ndarray, nodes: np.ndarray, most: int = NEAREST) -> np.ndarray:
-    """Pairs (smaller, larger node): each member with those of the nearest fingerprints in its shard; all pairs of few."""
-    order = np.argsort(nodes)
-    fps, nodes = fps[order], nodes[order]
-    k, pairs, n = min(most, len(nodes) - 1), [], len(nodes)
-    step = max(1, 4_000_000 // n)
+def ranked(fps: np.ndarray, first: int, before: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of members, and of others of their shard: of each the ``first`` to ``before`` nearest by fingerprint, then by place."""
+    n = len(fps)
+    before = min(before, n - 1)
+    if first >= before:
+        return
+    step = max(1, 500_000 // n)
     for at in range(0, n, step):
-        far = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :])
-        far[np.arange(len(far)), np.arange(at, at + len(far))] = 255
-        near = np.argpartition(far, k - 1, axis=1)[:, :k] if k < n - 1 else np.argsort(far, axis=1)[:, :k]
-        one = np.repeat(np.arange(at, at + len(far)), k)
-        pairs.append(np.column_stack([np.minimum(one, near.ravel()), np.maximum(one, near.ravel())]))
-    return nodes[np.unique(np.concatenate(pairs), axis=0)]
+        far = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :]).astype(np.int32) << 24 | np.arange(n, dtype=np.int32)
+        far[np.arange(len(far)), np.arange(at, at + len(far))] = 2**31 - 1
+        near = np.argpartition(far, [k - 1 for k in (first, before) if k], axis=1)[:, first:before]
+        yield np.repeat(np.arange(at, at + len(far)), before - first), near.ravel()
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+def _candidates(near: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs (smaller, larger node) of each member of a shard with the nearest; all pairs of few."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for members in batch["members"]:
+                m = np.stack(list(members)).astype(np.int64)
+                m = m[np.argsort(m[:, 1])]
+                for one, other in ranked(m[:, 0].astype(np.uint64), 0, near):
+                    out.append(np.unique(m[:, 1][np.column_stack([np.minimum(one, other), np.maximum(one, other)])], axis=0))
+            yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return run
+
+
+def _wider(near: int, similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The next pairs of a shard: of different components, and not too unlike by their sets' sizes and min-hashes."""
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
-        for members in batch["members"]:
-            m = np.stack(list(members)).astype(np.int64)
-            out.append(nearest(m[:, 0].astype(np.uint64), m[:, 1]))
-        yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        if shard["root"].nunique() > 1:
+            shard = shard.sort_values("node")
+            node, root, size, seen = (shard[c].to_numpy() for c in ("node", "root", "size", "seen"))
+            short = np.frombuffer(b"".join(shard["short"]), np.uint8).reshape(len(node), -1)
+            for one, other in ranked(shard["fp"].to_numpy().astype(np.uint64), seen[0], WIDER * max(seen[0], near)):
+                one, other = np.minimum(one, other), np.maximum(one, other)
+                apart = (root[one] != root[other]) & (np.minimum(size[one], size[other]) >= similar * np.maximum(size[one], size[other]) - 1e-6)
+                one, other = one[apart], other[apart]
+                alike = (short[one] == short[other]).sum(axis=1) >= ALIKE
+                out.append(np.unique(np.column_stack([node[one[alike]], node[other[alike]]]), axis=0))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return run
+
+
+def banded(nodes: DataFrame, *more: str) -> DataFrame:
+    """A row for each node and band: ``shard`` is the band with its key."""
+    return nodes.select("node", "fp", "keys", *more, F.posexplode("keys").alias("band", "key")).withColumn("shard", F.xxhash64("band", "key"))
+
+
+def crowded(nodes: DataFrame, above: int) -> DataFrame:
+    """Shards of more than so many members, with their number."""
+    return settle(banded(nodes).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above))
+
 
+def copy_shards(nodes: DataFrame, most: int = SHARD, sizes: DataFrame | None = None) -> DataFrame:
+    """Arrays ``members`` of (fingerprint, node) that share a band (or two, or a part of them), none much larger than ``most``.
 
-def copy_shards(nodes: DataFrame, most: int = SHARD) -> DataFrame:
-    """Arrays ``members`` of (fingerprint, node) that share a band (or two, or a part of them), none much larger than ``most``."""
-    rows = nodes.select("node", "fp", "keys", F.posexplode("keys").alias("band", "key")).withColumn("shard", F.xxhash64("band", "key"))
-    large = settle(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("shard"))
+    ``sizes`` has the numbers of members of all shards of more than ``most``, if they are counted already.
+    """
+    rows = banded(nodes)
+    large = (crowded(nodes, most) if sizes is None else sizes).where(F.col("n") > most).select("shard")
     if not large.isEmpty():
         hot = rows.join(large, "shard", "left_semi")
         others = hot.select("node", "fp", "band", "key", F.posexplode("keys").alias("band2", "key2")).where("band <> band2")
@@ -278,9 +333,8 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_ROWS else keys
 
 
-def copy_links(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between nodes whose shingle sets have at least the similarity; ``docs`` are boxed rows with their keys."""
-    pairs = settle(copy_shards(nodes).mapInPandas(_candidates, "a long, b long").distinct())
+def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity; ``docs`` are boxed rows with their keys."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = _few(settle(nodes.join(used, "node", "left_semi").select("node", F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))))
     # the text of a node is that of its best row; rows alike in id and text have the same set
@@ -288,8 +342,46 @@ def copy_links(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: f
     sets = settle(texts.groupBy("node").agg(F.first("set").alias("set")))
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    checked = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
-    return checked.where(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("a", "b")
+    compared = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
+    return settle(compared.where(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("a", "b"))
+
+
+def blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Members of large shards in all pairs of their shard's blocks, each pair a shard of about ``most`` that no round has seen."""
+    n = F.ceil(2 * F.col("n") / most)
+    dealt = rows.withColumns({"_own": F.pmod(F.xxhash64("node"), n), "_other": F.explode(F.sequence(F.lit(0).cast("long"), n - 1))})
+    shard = F.xxhash64("shard", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return dealt.withColumns({"shard": shard, "seen": F.lit(0)}).drop("_own", "_other")
+
+
+def unsettled(rows: DataFrame, roots: DataFrame, seen: int) -> DataFrame:
+    """Members, with their roots, of the shards that are not one component and have pairs beyond the ``seen`` nearest."""
+    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    some = placed.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"))
+    left = settle(some.where((F.col("low") != F.col("high")) & (F.col("m") > seen + 1)).select("shard"))
+    return settle(placed.join(_few(left), "shard", "left_semi"))
+
+
+def copy_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, near: int = NEAREST, most: int = SHARD) -> DataFrame:
+    """(node, root) of the nodes that are linked; ``docs`` are boxed rows with their keys.
+
+    A round is over the shards that still hold several components only; the number of rounds grows with the logarithm of
+    ``most``. Pairs in one component are not compared again, so a large group of copies does not become all its pairs.
+    """
+    full = crowded(nodes, near + 1)
+    links = checked(docs, nodes, settle(copy_shards(nodes, most, full).mapInPandas(_candidates(near), "a long, b long").distinct()), text, similar)
+    roots, seen = components(links), near
+    rows = banded(nodes, "size", "short").join(_few(full), "shard").select("shard", "n", "node", "fp", "size", "short", F.lit(near).alias("seen"))
+    rows = unsettled(rows, roots, near)
+    rows = settle(rows.where(F.col("n") <= most).unionByName(blocks(rows.where(F.col("n") > most), most)))
+    while not rows.isEmpty():
+        pairs = settle(rows.groupBy("shard").applyInPandas(_wider(near, similar), "a long, b long").distinct())
+        if not pairs.isEmpty():
+            links = links.unionByName(checked(docs, nodes, pairs, text, similar))
+            roots = components(links)
+        seen *= WIDER
+        rows = unsettled(rows.drop("root"), roots, seen).withColumn("seen", F.lit(seen))
+    return roots
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -299,8 +391,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     rows = boxed(docs, key.alias("_key"), hashed.alias("_hash"))
     prints = settle(docs.select(F.col(doc_id).alias("doc_id"), key.alias("_key"), hashed.alias("_hash"), _sketches(F.col(text)).alias("s")).select("doc_id", "_key", "_hash", "s.*"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash")).alias("best")
-    nodes = settle(prints.groupBy("node").agg(best, F.first("fp").alias("fp"), F.first("keys").alias("keys")))  # keys and fp go with the node
-    roots = components(copy_links(rows, nodes, text, similar))
+    nodes = settle(prints.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "size", "short")]))  # these go with the node
+    roots = copy_roots(rows, nodes, text, similar)
     placed = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))
     only = rows.join(kept, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_semi")

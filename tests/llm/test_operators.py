@@ -475,3 +475,54 @@ def test_hot_copy_shards_are_split(spark):
             reached.add(n)
             todo += [x for m in by_node.get(n, []) for _, x in m]
     assert len(reached) == 300
+
+
+def _mixed_copies(rng):
+    """Texts that share a long passage: near copies of a few, and others that are alike, but not enough for a link."""
+    passage = [f"p{i}" for i in range(200)]
+    texts = []
+    for base in range(12):
+        own = [f"b{base}w{i}" for i in rng.integers(0, 9000, 45)]  # similarity of two bases about 0.68
+        for copy in range(6):
+            words = passage + own
+            for at in rng.choice(245, copy, replace=False):
+                words = [*words[:at], f"e{base}_{copy}_{at}", *words[at + 1 :]]
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("near, most", [(1, 4096), (1, 24), (4, 4096)])
+def test_no_link_of_a_shard_is_lost(spark, near, most):
+    texts = _mixed_copies(np.random.default_rng(4))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    keys = [set(enumerate(simhash.band_keys(simhash.min_hashes(simhash.shingle_set(t))).tolist())) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if keys[a] & keys[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(top(a), top(b))] = min(top(a), top(b))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key, hashed = simhash.row_keys(F.col("doc_id"), F.col("text"))
+    rows = simhash.boxed(docs, key.alias("_key"), hashed.alias("_hash"))
+    marked = docs.select("doc_id", F.struct(key.alias("_key"), hashed.alias("_hash")).alias("best"), simhash._sketches("text").alias("s")).select("doc_id", "best", "s.*")
+    nodes = simhash.settle(marked)
+    roots = {r.node: r.root for r in simhash.copy_roots(rows, nodes, near=near, most=most).collect()}
+    got = {r.doc_id: roots.get(r.node, r.node) for r in nodes.collect()}
+    assert len({(top(i), got[i]) for i in got}) == len({top(i) for i in got}) == len(set(got.values())) < len(texts) - 20
+
+
+def test_ranks_cover_all_pairs():
+    fps = np.random.default_rng(2).integers(0, 2**63, 90).astype(np.uint64)
+    fps[40:] = fps[40]  # ties
+    pairs, first = [], 0
+    while first < 89:
+        before = 8 * max(first, 2)
+        pairs += [p for one, other in simhash.ranked(fps, first, before) for p in zip(one.tolist(), other.tolist())]
+        first = before
+    assert len(pairs) == len(set(pairs)) == 90 * 89 and all(a != b for a, b in pairs)
