@@ -20,9 +20,8 @@ bits, and a BK-tree searched that far visits every node. So its shards are bands
 the order in which a shard's members are compared, and every link is checked on the sets themselves. Texts with equal sets
 are one node; all wordless texts are one. At first a member is compared with the ``NEAREST`` of its shard (one of more than
 ``SHARD`` members is split by a second band, and one that is still larger is dealt out in parts that share a member). Then
-shards whose members are not one component yet are taken up again, each member with ``WIDER`` times as many, large shards
-in all pairs of their blocks, until every pair of a shard is in one component, or checked, or too unlike to be a link by
-the sizes of its sets or their min-hashes.
+shards whose members are not one component yet are taken up again with their sets: every pair of such a shard is counted
+where the shard is gathered (a large one in all pairs of its blocks), and only links between components leave the task.
 """
 
 from __future__ import annotations
@@ -44,11 +43,12 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Most fingerprints in a shard's tree; larger shards are split.
 TREE = 4096
 #: The stage: words in a shingle, least similarity, bands and min-hashes in a band (a pair at 0.8 shares no band once in
-#: 4,600 times), how many nearest members of its shard a member is compared with at first, how many times as many in each
-#: round after, and the least min-hashes in common (a pair at 0.8 has fewer less than once in 100,000 times).
-COPY_SHINGLE, SIMILAR, BANDS, ROWS, NEAREST, WIDER, ALIKE = 5, 0.8, 16, 4, 4, 8, 34
+#: 4,600 times), how many nearest members of its shard a member is compared with at first.
+COPY_SHINGLE, SIMILAR, BANDS, ROWS, NEAREST = 5, 0.8, 16, 4, 4
 #: Most members of a shard that one task compares, and rows of keys that are broadcast.
 SHARD, MAX_BROADCAST_ROWS = 16_384, 1_000_000
+#: Shingle hashes that one task holds when it counts all pairs of a shard.
+SHARD_HASHES = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -222,12 +222,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys
 
 
-def short_hashes(least: np.ndarray) -> bytes:
-    """A byte of each min-hash: two that differ have the same once in 256 times."""
-    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType()), T.StructField("short", T.BinaryType())]))
+@F.pandas_udf(T.StructType([T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())]))
 def _sketches(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
@@ -238,8 +233,8 @@ def _sketches(texts: pd.Series) -> pd.DataFrame:
         fp = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
         node = xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
         least = min_hashes(hashes)
-        out.append((_signed(node), _signed(fp), band_keys(least).view(np.int64) if len(hashes) else np.zeros(0, np.int64), len(hashes), short_hashes(least)))
-    return pd.DataFrame(out, columns=["node", "fp", "keys", "size", "short"])
+        out.append((_signed(node), _signed(fp), band_keys(least).view(np.int64) if len(hashes) else np.zeros(0, np.int64), len(hashes)))
+    return pd.DataFrame(out, columns=["node", "fp", "keys", "size"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -277,22 +272,24 @@ def _candidates(near: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     return run
 
 
-def _wider(near: int, similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The next pairs of a shard: of different components, and not too unlike by their sets' sizes and min-hashes."""
+def _spanning(similar: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links of a shard that join components; the common hashes of all its pairs are counted through lists of each hash's owners."""
 
     def run(shard: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        if shard["root"].nunique() > 1:
-            shard = shard.sort_values("node")
-            node, root, size, seen = (shard[c].to_numpy() for c in ("node", "root", "size", "seen"))
-            short = np.frombuffer(b"".join(shard["short"]), np.uint8).reshape(len(node), -1)
-            for one, other in ranked(shard["fp"].to_numpy().astype(np.uint64), seen[0], WIDER * max(seen[0], near)):
-                one, other = np.minimum(one, other), np.maximum(one, other)
-                apart = (root[one] != root[other]) & (np.minimum(size[one], size[other]) >= similar * np.maximum(size[one], size[other]) - 1e-6)
-                one, other = one[apart], other[apart]
-                alike = (short[one] == short[other]).sum(axis=1) >= ALIKE
-                out.append(np.unique(np.column_stack([node[one[alike]], node[other[alike]]]), axis=0))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        shard, out = shard.sort_values("node"), []
+        node, label, sizes = shard["node"].to_numpy(), shard["root"].to_numpy().copy(), shard["set"].map(len).to_numpy()
+        distinct, which = np.unique(np.concatenate(shard["set"].to_list()), return_inverse=True)
+        ends = np.cumsum(np.bincount(which, minlength=len(distinct)))
+        owners = np.split(np.repeat(np.arange(len(node)), sizes)[np.argsort(which, kind="stable")], ends[:-1])
+        for i, own in enumerate(np.split(which, np.cumsum(sizes)[:-1])):
+            if (label[:i] == label[i]).all():
+                continue
+            both = np.bincount(np.concatenate([owners[h] for h in own]), minlength=len(node))[:i]
+            linked = np.flatnonzero(both >= similar * (sizes[i] + sizes[:i] - both))
+            while len(linked := linked[label[linked] != label[i]]):
+                out.append((node[linked[0]], node[i]))
+                label[label == label[linked[0]]] = label[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -333,55 +330,49 @@ def _few(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= MAX_BROADCAST_ROWS else keys
 
 
-def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity; ``docs`` are boxed rows with their keys."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(docs: DataFrame, nodes: DataFrame, used: DataFrame, text: str = "text") -> DataFrame:
+    """(node, set) of the nodes in ``used``; ``docs`` are boxed rows with their keys."""
     wanted = _few(settle(nodes.join(used, "node", "left_semi").select("node", F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))))
     # the text of a node is that of its best row; rows alike in id and text have the same set
     texts = docs.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h"))).select("node", _sets(F.col(f"_doc.`{text}`")).alias("set"))
-    sets = settle(texts.groupBy("node").agg(F.first("set").alias("set")))
+    return settle(texts.groupBy("node").agg(F.first("set").alias("set")))
+
+
+def checked(sets: DataFrame, pairs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity."""
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     compared = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("all"))
     return settle(compared.where(F.col("both") >= similar * (F.col("all") - F.col("both"))).select("a", "b"))
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Members of large shards in all pairs of their shard's blocks, each pair a shard of about ``most`` that no round has seen."""
-    n = F.ceil(2 * F.col("n") / most)
-    dealt = rows.withColumns({"_own": F.pmod(F.xxhash64("node"), n), "_other": F.explode(F.sequence(F.lit(0).cast("long"), n - 1))})
-    shard = F.xxhash64("shard", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return dealt.withColumns({"shard": shard, "seen": F.lit(0)}).drop("_own", "_other")
-
-
-def unsettled(rows: DataFrame, roots: DataFrame, seen: int) -> DataFrame:
-    """Members, with their roots, of the shards that are not one component and have pairs beyond the ``seen`` nearest."""
+def unsettled(rows: DataFrame, roots: DataFrame, most: int, hashes: int) -> DataFrame:
+    """Members, with their roots, of the shards that are not one component; large shards in all pairs of their blocks."""
     placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    some = placed.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"))
-    left = settle(some.where((F.col("low") != F.col("high")) & (F.col("m") > seen + 1)).select("shard"))
-    return settle(placed.join(_few(left), "shard", "left_semi"))
+    some = placed.groupBy("shard").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    n = F.when((F.col("n") <= most) & (F.col("weight") <= hashes), F.lit(1)).otherwise(F.ceil(2 * F.greatest(F.col("n") / most, F.col("weight") / hashes)))
+    left = settle(some.where("low <> high").select("shard", n.cast("long").alias("blocks")))
+    dealt = placed.join(_few(left), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.select("node", "root", "shard", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return settle(dealt.select("node", "root", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard")))
 
 
-def copy_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, near: int = NEAREST, most: int = SHARD) -> DataFrame:
+def copy_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, near: int = NEAREST, most: int = SHARD, hashes: int = SHARD_HASHES) -> DataFrame:
     """(node, root) of the nodes that are linked; ``docs`` are boxed rows with their keys.
 
-    A round is over the shards that still hold several components only; the number of rounds grows with the logarithm of
-    ``most``. Pairs in one component are not compared again, so a large group of copies does not become all its pairs.
+    Every pair that shares a band is in one component after the first pass, or counted in the second. No pairs but the
+    first pass's nearest are written, so a large group of copies does not become all its pairs.
     """
     full = crowded(nodes, near + 1)
-    links = checked(docs, nodes, settle(copy_shards(nodes, most, full).mapInPandas(_candidates(near), "a long, b long").distinct()), text, similar)
-    roots, seen = components(links), near
-    rows = banded(nodes, "size", "short").join(_few(full), "shard").select("shard", "n", "node", "fp", "size", "short", F.lit(near).alias("seen"))
-    rows = unsettled(rows, roots, near)
-    rows = settle(rows.where(F.col("n") <= most).unionByName(blocks(rows.where(F.col("n") > most), most)))
-    while not rows.isEmpty():
-        pairs = settle(rows.groupBy("shard").applyInPandas(_wider(near, similar), "a long, b long").distinct())
-        if not pairs.isEmpty():
-            links = links.unionByName(checked(docs, nodes, pairs, text, similar))
-            roots = components(links)
-        seen *= WIDER
-        rows = unsettled(rows.drop("root"), roots, seen).withColumn("seen", F.lit(seen))
-    return roots
+    pairs = settle(copy_shards(nodes, most, full).mapInPandas(_candidates(near), "a long, b long").distinct())
+    links = checked(sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text), pairs, similar)
+    roots = components(links)
+    rows = banded(nodes, "size").join(_few(full.select("shard")), "shard").select("shard", "node", "size")
+    rows = unsettled(rows, roots, most, hashes)
+    if rows.isEmpty():
+        return roots
+    more = rows.join(sets_of(docs, nodes, rows.select("node").distinct(), text), "node").groupBy("shard").applyInPandas(_spanning(similar), "a long, b long")
+    return components(links.unionByName(more))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -391,7 +382,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     rows = boxed(docs, key.alias("_key"), hashed.alias("_hash"))
     prints = settle(docs.select(F.col(doc_id).alias("doc_id"), key.alias("_key"), hashed.alias("_hash"), _sketches(F.col(text)).alias("s")).select("doc_id", "_key", "_hash", "s.*"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "_hash")).alias("best")
-    nodes = settle(prints.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "size", "short")]))  # these go with the node
+    nodes = settle(prints.groupBy("node").agg(best, *[F.first(c).alias(c) for c in ("fp", "keys", "size")]))  # these go with the node
     roots = copy_roots(rows, nodes, text, similar)
     placed = nodes.select("node", "best").join(roots, "node", "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = placed.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best._key").alias("_k"), F.col("best._hash").alias("_h"))
