@@ -16,12 +16,13 @@ whatever their names, ``classes`` does not look at them.
 
 ``keep_one``, the pipeline's stage, has its own rule: texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 are near copies. At that similarity a fingerprint moves by ten bits and often by fifteen, too far for blocks of 64
-bits, and a BK-tree searched that far visits every node. So its shards are bands of min-hashes, fingerprints only choose
-the order in which a shard's members are compared, and every link is checked on the sets themselves. Texts with equal sets
-are one node; all wordless texts are one. At first a member is compared with the ``NEAREST`` of its shard (one of more than
-``SHARD`` members is split by a second band, and one that is still larger is dealt out in parts that share a member). Then
-shards whose members are not one component yet are taken up again with their sets: every pair of such a shard is counted
-where the shard is gathered (a large one in all pairs of its blocks), and only links between components leave the task.
+bits, so its shards are bands of min-hashes. Texts with equal sets are one node; all wordless texts are one. The fingerprints
+of each shard are a BK-tree like any other, in which every member looks for its ``NEAREST``, along the edges within the
+distance of the farthest found so far, since a fixed radius would lose links (a shard of more than ``SHARD`` members is split
+by a second band, and one that is still larger is dealt out in parts that share a member). What is found is checked on the
+sets themselves. An exact check of the rest follows: shards whose members are not one component yet are taken up again with
+their sets, every pair of such a shard is counted where the shard is gathered (a large one in all pairs of its blocks), and
+only links between components leave the task.
 """
 
 from __future__ import annotations
@@ -97,6 +98,24 @@ class BKTree:
         place[0][1][place[1]] = [value, {}]
         return near
 
+    def nearest(self, values: np.ndarray, places: dict[int, np.ndarray], count: int) -> np.ndarray:
+        """For each value the ``count`` nearest places in order, as distance << 32 | place; ``places`` has those of each node.
+
+        All values are searched together. Each goes along the edges within its own radius, which is the distance of the
+        farthest place that it holds so far.
+        """
+        best = np.full((len(values), count), 65 << 32, np.int64)
+        todo = [] if self.root is None else [(self.root, 0, np.arange(len(values)), np.zeros(len(values), np.int64))]
+        while todo:
+            node, edge, who, far = todo.pop()
+            who = who[np.abs(far - edge) <= best[who, -1] >> 32]
+            far = np.bitwise_count(values[who] ^ np.uint64(node[0])).astype(np.int64)
+            met = far[:, None] << 32 | places[node[0]][:count]
+            closer = met[:, 0] < best[who, -1]
+            best[who[closer]] = np.sort(np.concatenate([best[who[closer]], met[closer]], axis=1), axis=1)[:, :count]
+            todo += [(child, edge, who, far) for edge, child in node[1].items()]
+        return best
+
 
 def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     """(fingerprint, smallest fingerprint it is linked with inside the shard) for each that isn't alone or smallest."""
@@ -243,21 +262,28 @@ def _sets(texts: pd.Series) -> pd.Series:
 
 
 def ranked(fps: np.ndarray, first: int, before: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of members, and of others of their shard: of each the ``first`` to ``before`` nearest by fingerprint, then by place."""
+    """Places of members, and of others of their shard: of each the ``first`` to ``before`` nearest by fingerprint, then by place.
+
+    The shard's BK-tree is searched; members with the same fingerprint are one node of it.
+    """
     n = len(fps)
     before = min(before, n - 1)
     if first >= before:
         return
-    step = max(1, 500_000 // n)
-    for at in range(0, n, step):
-        far = np.bitwise_count(fps[at : at + step, None] ^ fps[None, :]).astype(np.int32) << 24 | np.arange(n, dtype=np.int32)
-        far[np.arange(len(far)), np.arange(at, at + len(far))] = 2**31 - 1
-        near = np.argpartition(far, [k - 1 for k in (first, before) if k], axis=1)[:, first:before]
-        yield np.repeat(np.arange(at, at + len(far)), before - first), near.ravel()
+    values, which = np.unique(fps, return_inverse=True)
+    tree = BKTree()
+    for v in values.tolist():
+        tree.add(v, -1)  # nothing is within that radius
+    places = dict(zip(values.tolist(), np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])))
+    best = tree.nearest(values, places, before + 1)[which]
+    own = best == np.arange(n)[:, None]
+    own[~own.any(axis=1), -1] = True  # a member that isn't among its own nearest leaves out the last of them
+    near = best[~own].reshape(n, before)[:, first:] & (1 << 32) - 1
+    yield np.repeat(np.arange(n), before - first), near.ravel()
 
 
 def _candidates(near: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Pairs (smaller, larger node) of each member of a shard with the nearest; all pairs of few."""
+    """Pairs (smaller, larger node) of each member of a shard with the nearest in the shard's tree; all pairs of few."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -360,8 +386,8 @@ def unsettled(rows: DataFrame, roots: DataFrame, most: int, hashes: int) -> Data
 def copy_roots(docs: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, near: int = NEAREST, most: int = SHARD, hashes: int = SHARD_HASHES) -> DataFrame:
     """(node, root) of the nodes that are linked; ``docs`` are boxed rows with their keys.
 
-    Every pair that shares a band is in one component after the first pass, or counted in the second. No pairs but the
-    first pass's nearest are written, so a large group of copies does not become all its pairs.
+    Every pair that shares a band is in one component after the search of the trees, or counted in the check that follows.
+    No pairs but a tree's nearest are written, so a large group of copies does not become all its pairs.
     """
     full = crowded(nodes, near + 1)
     pairs = settle(copy_shards(nodes, most, full).mapInPandas(_candidates(near), "a long, b long").distinct())

@@ -526,3 +526,23 @@ def test_ranks_cover_all_pairs():
         pairs += [p for one, other in simhash.ranked(fps, first, before) for p in zip(one.tolist(), other.tolist())]
         first = before
     assert len(pairs) == len(set(pairs)) == 90 * 89 and all(a != b for a, b in pairs)
+
+
+@pytest.mark.parametrize("kind", ["far", "near", "equal", "two"])
+def test_near_copies_are_searched_in_a_bk_tree(monkeypatch, kind):
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 2**63, 2 if kind == "two" else 70).astype(np.uint64)
+    if kind in ("near", "equal"):
+        flips = [[int(b) for b in rng.choice(64, rng.integers(0, 9 if kind == "near" else 2), replace=False)] for _ in fps]
+        fps[:] = [int(fps[0]) ^ sum(1 << b for b in bits) for bits in flips]
+    nodes = np.sort(rng.choice(10**6, len(fps), replace=False))
+    want = set()
+    for i, f in enumerate(fps.tolist()):
+        for _, j in sorted(((f ^ g).bit_count(), j) for j, g in enumerate(fps.tolist()) if j != i)[:4]:
+            want.add((nodes[min(i, j)], nodes[max(i, j)]))
+    searched, search = [], simhash.BKTree.nearest
+    monkeypatch.setattr(simhash.BKTree, "nearest", lambda tree, values, *more: searched.extend(values.tolist()) or search(tree, values, *more))
+    members = [np.array([f, n], np.int64) for f, n in zip(fps.astype(np.int64), nodes)]
+    (pairs,) = simhash._candidates(4)(iter([pd.DataFrame({"members": [members]})]))
+    assert set(pairs.itertuples(index=False, name=None)) == want
+    assert set(searched) == set(fps.tolist())  # every fingerprint of the shard went through its tree
