@@ -90,9 +90,8 @@ def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def xml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit("<e><k>"), F.get_json_object("payloadData", "$.k"), F.lit("</k><k>5</k><t>"), "payloadType", F.lit("</t></e>"))
-    return events(spark, sf_dir).select(
-        "token", D.xml_text(doc, "//t").alias("t"), D.xml_number(doc, "sum(//k)").alias("total"), D.xml_number(doc, "count(//k)").alias("n"), F.array_join(D.xml_texts(doc, "//k/text()"), ",").alias("all"), D.xml_node(doc, "/e/t").alias("node")
-    )
+    found = D.xml_fields(doc, t=("text", "//t"), total=("number", "sum(//k)"), n=("number", "count(//k)"), all=("texts", "//k/text()"), node=("node", "/e/t"))
+    return events(spark, sf_dir).select("token", found.alias("x")).select("token", "x.t", "x.total", "x.n", F.array_join("x.all", ",").alias("all"), "x.node")
 
 
 def map_text(spark: SparkSession, sf_dir: str) -> DataFrame:

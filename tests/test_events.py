@@ -280,3 +280,27 @@ def test_live_answers_equal_batch_answers(spark, tmp_path):
     updates = spark.createDataFrame([(8, 8, "s"), (12, 12, "s"), (13, 13, "t")], "token long, timestamp long, subscription string")
     got = sorted((r.token, r.isUpdate) for r in live.initial_and_updates(log, updates, "s", 9).collect())
     assert got == [(i, False) for i in range(10)] + [(12, True)]
+
+
+def test_xml_is_parsed_once_with_the_values_of_xpath(spark):
+    docs = [
+        "<e><k>7</k><k>5</k><t>view</t></e>", "<e/>", "<e><t/></e>", "<e><k> 1.5\n</k><k>-.5</k><k>2.</k></e>", "<e><k>1e3</k></e>", "<e><k>+1</k><t>a</t></e>", "<e><k/><k>0.1</k></e>",
+        "<e><k>0.1</k><k>0.2</k><k>0.3</k><k>1234567890123456789</k></e>", "<e><k>1<k>2</k>3<x>4</x>5</k><t>a<b>b</b>c</t></e>", "<k><e><k>8</k></e><t>&lt;&amp;\U0001f600&#65;</t></k>",
+        "<e><k>1<!-- no -->2</k></e>", "<e><k><![CDATA[3]]>4</k></e>", "<?xml version='1.0'?><e><k>9</k></e>", "<e xmlns='urn:x'><k>1</k><t>n</t></e>", "<e k='a:b'><t>12:30</t><k>6</k></e>",
+        "<e xmlns:a='urn:a'><a:k>5</a:k><k a:b='c'>6</k></e>", "", None,
+    ]
+    wanted = {
+        "a": ("text", "//t"), "b": ("text", "/e/t/text()"), "c": ("number", "sum(//k)"), "d": ("number", "count(//k)"), "e": ("number", "//k"), "f": ("texts", "//k/text()"),
+        "g": ("number", "count(/e/k/text())"), "h": ("text", "//k[2]"), "i": ("texts", "/e//k/text()"), "j": ("text", "count(//k)"), "k": ("number", "/e/k/text()"),
+    }
+    frame = spark.createDataFrame([(d,) for d in docs], "doc string")
+    plainly = {"text": D.xml_text, "number": D.xml_number, "texts": D.xml_texts}
+    got = frame.select("doc", D.xml_fields(F.col("doc"), **wanted).alias("x")).select("doc", "x.*").collect()
+    want = frame.select("doc", *[plainly[kind](F.col("doc"), path).alias(n) for n, (kind, path) in wanted.items()]).collect()
+    assert [repr(r) for r in got] == [repr(r) for r in want]
+    for broken in ("<e><k>", "  ", "<e>&none;</e>"):
+        with pytest.raises(Exception, match="parse|SAX|XML|ParseError|not well-formed|no element|undefined entity"):
+            spark.createDataFrame([(broken,)], "doc string").select(D.xml_fields(F.col("doc"), t=("text", "//t")).alias("x")).collect()
+    used = plan(queries.QUERIES["xml_values"](spark, SF))
+    assert used.count("ArrowEvalPython [") == 1  # one parse a document
+    assert used.count("XPath") == used.count("ELSE invoke(XPath") + used.count("ELSE array_join(invoke(XPath") > 0  # Spark's only for the others
